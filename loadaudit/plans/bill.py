@@ -16,6 +16,7 @@ from ..functions import clock, geo, money, text
 from ..operators import decisions, findings, photos as reuse, rollup, traces
 from ..operators.findings import Case, say
 from . import wording
+from .staging import stage
 from .wording import HARD, SOFT
 
 
@@ -356,25 +357,34 @@ _DRAIN_KEYS = ["bill_id", "drain_id"]
 
 
 class Audit:
-    """All rules over a ``BillCase``. Every attribute is a lazy DataFrame."""
+    """All rules over a ``BillCase``. The frames that every output shares (one row per
+    trace, leg or drain) are staged on first use; everything else is lazy."""
 
-    def __init__(self, case: BillCase, limits: Limits | None = None):
+    def __init__(self, case: BillCase, limits: Limits | None = None, staged: bool = True):
         self.case, self.limits = case, limits or Limits()
+        self._stage = stage if staged else lambda df, name: df
 
     @cached_property
     def facts(self) -> DataFrame:
         """Trace facts against each bill's own dump site."""
         fences = bill_sites(self.case.bills, self.case.sites)
         placed = traces.points_in_site(traces.with_times(self.case.points), fences)
-        return traces.trace_facts(placed)
+        return self._stage(traces.trace_facts(placed), "trace-facts")
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        """Per trip with a timed trace: the truck's legs before and after it."""
+        driven = self.case.trips.select("bill_id", "trip_id", "vehicle_no", "trace_key").join(
+            self.facts, ["bill_id", "trace_key"]
+        )
+        legs = traces.truck_legs(driven)
+        return self._stage(legs.select("bill_id", F.col("leg_id").alias("trip_id"), "before", "after"), "truck-legs")
 
     @cached_property
     def judged_trips(self) -> DataFrame:
         case = self.case
         trips = with_capacity(trip_evidence(case.trips, case.slips, self.facts, case.trace_items), case.vehicles)
-        legs = traces.truck_legs(trips.where(_has_points()))
-        sides = legs.select("bill_id", F.col("leg_id").alias("trip_id"), "before", "after")
-        return with_slip_delta(trips.join(sides, ["bill_id", "trip_id"], "left"))
+        return with_slip_delta(trips.join(self.legs, ["bill_id", "trip_id"], "left"))
 
     @cached_property
     def _trip_cases(self) -> list[Case]:
@@ -412,7 +422,8 @@ class Audit:
             names = [r for r, s in flags if s == severity]
             return F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"{severity}_{r}"), F.lit(r)) for r in names])))
 
-        return per_drain.select(*_DRAIN_KEYS, listed(HARD).alias("drain_hard"), listed(SOFT).alias("drain_soft"))
+        rules = per_drain.select(*_DRAIN_KEYS, listed(HARD).alias("drain_hard"), listed(SOFT).alias("drain_soft"))
+        return self._stage(rules, "drain-rules")
 
     @cached_property
     def trip_findings(self) -> DataFrame:
@@ -469,8 +480,8 @@ class Audit:
         return rollup.bill_summary(self.drains, self.case.bills, billed_claim=False)
 
 
-def evaluate(case: BillCase, limits: Limits | None = None) -> Audit:
-    return Audit(case, limits)
+def evaluate(case: BillCase, limits: Limits | None = None, staged: bool = True) -> Audit:
+    return Audit(case, limits, staged)
 
 
 # ----------------------------------------------------------------- missing
