@@ -8,7 +8,7 @@ SELECT n_nationkey::VARCHAR AS bill_id, 1800 + 10 * n_nationkey AS rate,
        n_nationkey <> 24 AS has_site FROM nation""")
 view("v_sdrain", """
 SELECT s_nationkey::VARCHAR AS bill_id, s_suppkey::VARCHAR AS drain_id, s_name AS name,
-       (50 + s_suppkey % 400)::DOUBLE AS length_m, 1.2::DOUBLE + (s_suppkey % 5) * 0.5::DOUBLE AS width_m,
+       (400 + s_suppkey % 400 * 8)::DOUBLE AS length_m, 1.2::DOUBLE + (s_suppkey % 5) * 0.5::DOUBLE AS width_m,
        0.8::DOUBLE + (s_suppkey % 3) * 0.4::DOUBLE AS depth_m,
        CASE s_suppkey % 4 WHEN 0 THEN 'APPROVE' WHEN 1 THEN 'HOLD' END AS decision FROM supplier""")
 view("v_load", """
@@ -59,8 +59,8 @@ view("v_leg", """
 SELECT *, lead(trip_id) OVER w AS next_id, lead(us0) OVER w AS next_us0, lead(lon0) OVER w AS next_lon, lead(lat0) OVER w AS next_lat
 FROM v_ttrip WINDOW w AS (PARTITION BY bill_id, vehicle_no ORDER BY us0, trip_id)""")
 HAVERSINE = (
-    "2 * 6371000.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(power(sin((radians({lat2}) - radians({lat1})) / 2), 2)"
-    " + cos(radians({lat1})) * cos(radians({lat2})) * power(sin((radians({lon2}) - radians({lon1})) / 2), 2))))"
+    "2 * 6371000.0::DOUBLE * asin(sqrt(power(sin((radians({lat2}) - radians({lat1})) / 2), 2)"
+    " + cos(radians({lat1})) * cos(radians({lat2})) * power(sin((radians({lon2}) - radians({lon1})) / 2), 2)))"
 )
 
 
@@ -79,7 +79,7 @@ SELECT bill_id, trip_id, next_id AS other, minutes, km, kmh FROM v_clash
 UNION ALL SELECT bill_id, next_id AS trip_id, trip_id AS other, minutes, km, kmh FROM v_clash""")
 view("v_minutes", """
 SELECT t.trip_id, k, ((us_arr // 86400000000 + k) * 86400000000
-         + (split_part(s.time_in, ':', 1)::INT * 60 + split_part(s.time_in, ':', 2)::INT) * 60000000 - us_arr) / 60e6 AS d
+         + (split_part(s.time_in, ':', 1)::INT * 60 + split_part(s.time_in, ':', 2)::INT) * 60000000::BIGINT - us_arr) / 60e6 AS d
 FROM v_ttrip t JOIN v_tslip s ON s.slip_key = t.trip_id, (VALUES (-1), (0), (1)) x(k) WHERE s.time_in IS NOT NULL""")
 view("v_delta", "SELECT trip_id, arg_min(d, {'a': abs(d), 'k': k}) AS delta FROM v_minutes GROUP BY trip_id")
 

@@ -39,7 +39,8 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     half_lat = F.sin((F.radians(lat2) - F.radians(lat1)) / 2)
     half_lon = F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * (2 * EARTH_RADIUS_M)
+    # Not ``least``: it would turn a missing coordinate into half the globe.
+    return F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h))) * (2 * EARTH_RADIUS_M)
 
 
 def metres_between(a: Column, b: Column) -> Column:

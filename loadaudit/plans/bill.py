@@ -485,15 +485,23 @@ def evaluate(case: BillCase, limits: Limits | None = None, staged: bool = True)
 
 
 # ----------------------------------------------------------------- missing
-def missing_evidence(case: BillCase, unreadable_traces: DataFrame | None = None) -> DataFrame:
-    """Five counts per bill of what never arrived or could not be read."""
+def missing_rows(case: BillCase) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(trips without a slip, trips without a trace item, drains without photos)."""
     slip_keys = case.slips.select(F.col("s3_key").alias("slip_key"))
     item_keys = case.trace_items.select(F.col("s3_key").alias("trace_key"))
-    no_slip = case.trips.join(slip_keys, "slip_key", "left_anti").select("bill_id", F.lit("trips_without_slip").alias("gap"))
-    no_trace = case.trips.join(item_keys, "trace_key", "left_anti").select("bill_id", F.lit("trips_without_trace").alias("gap"))
-    no_photo = case.drains.join(case.photos, _DRAIN_KEYS, "left_anti").select(
-        "bill_id", F.lit("drains_without_photos").alias("gap")
+    return (
+        case.trips.join(slip_keys, "slip_key", "left_anti"),
+        case.trips.join(item_keys, "trace_key", "left_anti"),
+        case.drains.join(case.photos, _DRAIN_KEYS, "left_anti"),
     )
+
+
+def missing_evidence(case: BillCase, unreadable_traces: DataFrame | None = None) -> DataFrame:
+    """Five counts per bill of what never arrived or could not be read."""
+    absent = ("trips_without_slip", "trips_without_trace", "drains_without_photos")
+    gaps_by_kind = [
+        df.select("bill_id", F.lit(name).alias("gap")) for df, name in zip(missing_rows(case), absent)
+    ]
     failed = F.col("status") == "ERROR"
     trip_slips = case.trips.select("bill_id", F.col("slip_key").alias("s3_key")).distinct()
     trip_items = case.trips.select("bill_id", F.col("trace_key").alias("s3_key")).distinct()
@@ -504,7 +512,7 @@ def missing_evidence(case: BillCase, unreadable_traces: DataFrame | None = None)
         .unionByName(trip_items.join(case.trace_items.where(failed).select("s3_key"), "s3_key").select("bill_id"))
         .select("bill_id", F.lit("evidence_errors").alias("gap"))
     )
-    gaps = no_slip.unionByName(no_trace).unionByName(no_photo).unionByName(errors)
+    gaps = findings.union_findings(*gaps_by_kind, errors)
     if unreadable_traces is not None:
         gaps = gaps.unionByName(unreadable_traces.select("bill_id", F.lit("unreadable_traces").alias("gap")))
     names = ["trips_without_slip", "trips_without_trace", "unreadable_traces", "evidence_errors", "drains_without_photos"]

@@ -54,7 +54,7 @@ class Fixture:
             F.col("s_nationkey").cast("string").alias("bill_id"),
             key.cast("string").alias("drain_id"),
             F.col("s_name").alias("name"),
-            (F.lit(50) + key % 400).cast("double").alias("length_m"),
+            (F.lit(400) + key % 400 * 8).cast("double").alias("length_m"),
             (F.lit(1.2) + (key % 5) * 0.5).alias("width_m"),
             (F.lit(0.8) + (key % 3) * 0.4).alias("depth_m"),
             F.lit(None).cast("double").alias("plausible_max_tonnes"),
