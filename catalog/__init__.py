@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, each with an independent SQL statement."""
 
-from . import bill, ledger  # noqa: F401
+from . import bill, cases, ledger  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

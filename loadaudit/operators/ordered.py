@@ -44,3 +44,26 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
         F.coalesce("_prev", "_before").alias("prev"),
         F.coalesce("_next", "_after").alias("next"),
     )
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "n") -> DataFrame:
+    """Adds the 1-based position of each row within ``keys``. Positions are counted per
+    order bucket and shifted by the sizes of the earlier buckets, so a hot key is never
+    sorted in one task. ``bucket`` must not decrease along ``order``."""
+    cut = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size")).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"), "_size"
+    )
+    earlier = (
+        Window.partitionBy(*[f"_k_{k}" for k in keys])
+        .orderBy("_k_bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket").eqNullSafe(F.col("_k_bucket"))],
+    )
+    local = cut.withColumn("_i", F.row_number().over(inside))
+    return local.join(starts, same).select(*df.columns, (F.col("_i") + F.col("_start")).alias(name))

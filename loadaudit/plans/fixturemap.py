@@ -256,3 +256,101 @@ class Fixture:
             slips=self.trace_slips, trace_items=self.trace_items, points=self.points,
             vehicles=self.user_vehicles, sites=self.sites,
         )
+
+    # ---------------------------------------------------------------- cases
+    @cached_property
+    def case_rows(self) -> DataFrame:
+        """A case per customer; each detail is absent for some of them."""
+        from .. import schemas
+
+        c = F.col("c_custkey")
+        lon, lat = F.lit(72.80) + (c % 50) / 1000, F.lit(19.00) + (c % 30) / 5000
+        none = F.lit(None)
+        drain = F.struct(
+            geo.pt(lon, lat).alias("point"),
+            F.when(c % 8 == 1, F.array(geo.pt(lon, lat), geo.pt(lon + 0.01, lat + 0.002))).alias("line"),
+            (F.lit(30.0) + c % 3 * 700).alias("tolerance_m"),
+            F.lit("manual_point").alias("source"),
+            (c % 9 == 0).alias("derived_from_photos"),
+            none.cast("string").alias("name"),
+            (F.lit(10.0) + c % 50).alias("length_m"),
+            F.when(c % 6 != 0, F.lit(2.0)).alias("width_m"),
+            F.lit(1.5).alias("depth_m"),
+        )
+        ring = geo.line_literal([(72.845, 19.0), (72.855, 19.0), (72.855, 19.01), (72.845, 19.01), (72.845, 19.0)])
+        site = F.struct(
+            geo.pt(72.85, 19.005).alias("point"), F.lit(600.0).alias("radius_m"),
+            F.when(c % 3 == 1, ring).alias("polygon"), none.cast("string").alias("name"),
+        )
+        quantity = F.when(c % 7 != 0, F.lit(20.0) + c % 200)
+        claim = F.struct(
+            quantity.alias("quantity_tonnes"),
+            F.when(c % 5 != 0, F.lit(1800.0)).alias("rate_per_tonne"),
+            F.when(c % 6 != 0, (F.lit(20.0) + c % 200) * 1800 + c % 4 * 500).alias("amount_rupees"),
+            none.cast("string").alias("contractor"), none.cast("string").alias("reference"),
+        )
+        window = F.struct(F.lit("1996-01-01T00:00:00+05:30").alias("start"), F.lit("2000-12-31T00:00:00+05:30").alias("end"))
+        truck = F.struct(
+            F.concat(F.lit("wb-"), (c % 50).cast("string")).alias("vehicle_no"),
+            F.when(c % 4 == 2, F.lit(8.5) + c % 10).alias("capacity_tonnes"),
+        )
+        return self.table("customer").select(
+            c.cast("string").alias("case_id"),
+            F.when(c % 4 != 0, drain).cast(schemas.DRAIN_LOCATION_DDL).alias("drain"),
+            F.when(c % 3 != 0, site).cast(schemas.DISPOSAL_SITE_DDL).alias("site"),
+            F.when(c % 11 != 0, claim).cast(schemas.CLAIM_DDL).alias("claim"),
+            F.when(c % 10 != 0, window).alias("window"),
+            F.when(c % 2 == 0, truck).alias("truck"),
+        )
+
+    @cached_property
+    def case_photos(self) -> DataFrame:
+        v = F.col("vec_id")
+        vision = F.struct(
+            (v % 7 != 0).alias("ran"), (v % 13 != 0).alias("ok"),
+            F.when(v % 17 != 0, v % 4 != 0).alias("cleared"), ((v % 100) / 100).alias("confidence"),
+            (v % 8 == 0).alias("mocked"), F.when(v % 14 == 0, F.lit("quota")).alias("skipped_reason"),
+        )
+        stamp = F.when(v % 6 == 0, F.substring("timestamp", 1, 19)).otherwise(F.col("timestamp"))
+        return self.photos.select(
+            (v % 97).cast("string").alias("case_id"), _text("p", v).alias("evidence_id"),
+            F.when(v % 10 != 0, _text("IMG_", v, ".jpg")).alias("filename"), F.lit("photo").alias("grp"),
+            F.when(v % 2 == 0, F.lit("after")).otherwise(F.lit("before")).alias("role"), v.cast("int").alias("pos"),
+            "has_gps", "lon", "lat", stamp.alias("timestamp"), (v % 6 != 0).alias("timestamp_has_offset"),
+            F.when(v % 4 == 0, (v % 100).cast("double")).alias("gps_accuracy_m"), "p_hash", vision.alias("vision"),
+        )
+
+    @cached_property
+    def case_slips(self) -> DataFrame:
+        o, c = F.col("o_orderkey"), F.col("o_custkey")
+        net = F.when(o % 9 != 0, F.round(F.col("o_totalprice") / 20000, 2))
+        return self.table("orders").select(
+            c.cast("string").alias("case_id"), _text("s", o).alias("evidence_id"),
+            F.when(o % 10 != 0, _text("slip-", o, ".png")).alias("filename"), F.lit("slip").alias("grp"), o.cast("int").alias("pos"),
+            net.alias("net"),
+            F.round(net + 8 + F.when(o % 5 == 0, 0.2).otherwise(0.0), 2).alias("gross"), F.lit(8.0).alias("tare"),
+            F.when(o % 19 != 0, F.format_string("%02d:%02d", (o % 24).cast("int"), (c % 60).cast("int"))).alias("time_in"),
+            F.when(o % 16 != 0, _text("WB ", c % 50 + F.when(o % 3 == 0, 1).otherwise(0))).alias("vehicle_no"),
+            (o % 12 == 0).alias("net_derived"), (o % 10 == 0).alias("mocked"),
+        )
+
+    @cached_property
+    def case_points(self) -> DataFrame:
+        return self.points.select(
+            F.col("user_id").cast("string").alias("case_id"), F.col("trace_key").alias("evidence_id"), "seq", "lat", "lon", "t",
+        )
+
+    @cached_property
+    def case_traces(self) -> DataFrame:
+        block = F.split("evidence_id", "-")[1].cast("int")
+        user = F.col("case_id").cast("int")
+        return self.case_points.select("case_id", "evidence_id").distinct().select(
+            "case_id", "evidence_id", F.concat("evidence_id", F.lit(".json")).alias("filename"), F.lit("trace").alias("grp"),
+            block.alias("pos"), F.when(block % 4 != 3, _text("WB ", user % 50 + block % 2)).alias("vehicle_no"),
+        )
+
+    @cached_property
+    def case_tables(self):
+        from .case import CaseTables
+
+        return CaseTables(self.case_rows, self.case_photos, self.case_slips, self.case_traces, self.case_points)
