@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import text
 from .binding import let, let_all
+from .rounding import round_half_even
 
 # Words read as numbers or truth values.
 TRUE_WORDS = ["true", "yes", "y", "1"]
@@ -55,7 +56,7 @@ def coerce_bool(v: Column) -> Column:
 
 def _unit_interval(number: Column) -> Column:
     percent = F.when(number > 100, F.lit(1.0)).when(number > 1, number / 100.0).otherwise(number)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), percent)), 3)
+    return round_half_even(F.greatest(F.lit(0.0), F.least(F.lit(1.0), percent)), 3)
 
 
 def coerce_confidence(v: Column) -> Column:

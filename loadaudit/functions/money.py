@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rounding import round_half_even
+
 TONNES = "decimal(18,3)"
 
 
@@ -14,7 +16,7 @@ def rupees(tonnes: Column, rate: Column) -> Column:
 
 
 def lakh(amount: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", amount.cast("double") / 100000)
+    return F.format_string(f"%.{digits}f", round_half_even(amount.cast("double") / 100000, digits))
 
 
 def indian_group(whole: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .binding import let, let_all
+from .rounding import round_half_even
 
 # Texts that mean "no answer", and digits commonly misread as letters.
 NO_ANSWER = ["", "-", "--", "---", "n/a", "na", "none", "nil", "?"]
@@ -37,7 +38,7 @@ def parse_weight_t(c: Column) -> Column:
     def from_number(text, value):
         in_kg = text.contains("kg") | (value > 200)
         readable = ~_unanswered(text) & text.rlike("[0-9]") & (value != 0)
-        return F.when(readable, F.round(F.when(in_kg, value / 1000.0).otherwise(value), 3))
+        return F.when(readable, round_half_even(F.when(in_kg, value / 1000.0).otherwise(value), 3))
 
     return let(F.lower(strip(c)), from_text)
 
@@ -121,26 +122,26 @@ def fixed0(x: Column) -> Column:
 
 
 def fixed(x: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", x.cast("double"))
+    return F.format_string(f"%.{decimals}f", round_half_even(x, decimals))
 
 
 def grouped(x: Column, decimals: int) -> Column:
-    return F.format_number(x.cast("double"), decimals)
+    return F.format_number(round_half_even(x, decimals), decimals)
 
 
 def general(x: Column) -> Column:
     """Six significant digits without trailing zeros."""
-    x = x.cast("double")
-    size = F.abs(x)
-    plain = (
-        F.when(size < 10, fixed(x, 5))
-        .when(size < 100, fixed(x, 4))
-        .when(size < 1_000, fixed(x, 3))
-        .when(size < 10_000, fixed(x, 2))
-        .when(size < 100_000, fixed(x, 1))
-        .otherwise(fixed(x, 0))
-    )
-    trimmed = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    power = F.format_string("%.5e", x)
-    mantissa = F.regexp_replace(F.regexp_replace(F.split(power, "e")[0], r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(size < 999_999.5, trimmed).otherwise(F.concat(mantissa, F.lit("e"), F.split(power, "e")[1]))
+
+    def plain(v):
+        decimals = F.array(*[F.format_string(f"%.{n}f", v) for n in (5, 4, 3, 2, 1, 0)])
+        place = F.when(F.abs(v) < 10, 0).otherwise(F.floor(F.log10(F.abs(v))).cast("int"))
+        return F.get(decimals, F.least(place, F.lit(5)))
+
+    def trimmed(c):
+        return F.regexp_replace(F.regexp_replace(c, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+    def whole(v):
+        power = F.split(F.format_string("%.5e", v), "e")
+        return F.when(F.abs(v) < 999_999.5, trimmed(plain(v))).otherwise(F.concat(trimmed(power[0]), F.lit("e"), power[1]))
+
+    return let(x.cast("double"), whole)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock, geo, money, text
+from ..functions.rounding import round_half_even
 from ..operators import decisions, findings, photos as reuse, rollup, traces
 from ..operators.findings import Case, say
 from . import wording
@@ -122,7 +123,7 @@ def r1_cases(limits: Limits) -> list[Case]:
     """Needs ``distance_m``."""
     d = F.col("distance_m")
     located = _readable() & F.coalesce(F.col("has_gps"), F.lit(False))
-    seen = {"s3Key": F.col("s3_key"), "distanceM": F.when(d < float("inf"), F.round(d, 1)).otherwise(d)}
+    seen = {"s3Key": F.col("s3_key"), "distanceM": F.when(d < float("inf"), round_half_even(d, 1)).otherwise(d)}
     metres = F.when(d < float("inf"), text.fixed0(F.when(d < float("inf"), d))).otherwise(F.lit("inf"))
     return [
         Case("R1", SOFT, _readable() & ~F.coalesce(F.col("has_gps"), F.lit(False)), say("r1_no_gps", _name()),
@@ -211,7 +212,7 @@ def volume_cases() -> list[Case]:
     claimed = F.col("claimed").cast("double")
     return [
         Case("R10", SOFT, claimed > ceiling, say("r10_over", text.fixed0(claimed), text.fixed0(ceiling)),
-             {"claimedTonnes": F.col("claimed"), "plausibleMaxTonnes": F.round(ceiling, 1)})
+             {"claimedTonnes": F.col("claimed"), "plausibleMaxTonnes": round_half_even(ceiling, 1)})
     ]
 
 
@@ -270,7 +271,7 @@ def r6_cases(limits: Limits) -> list[Case]:
             say("r6_speed", other, text.fixed0(leg["minutes"]), km, speed)
         )
         evidence = {
-            "otherTripId": leg["other"], "minutes": F.bround(leg["minutes"], 1), "km": F.bround(leg["km"], 1),
+            "otherTripId": leg["other"], "minutes": round_half_even(leg["minutes"], 1), "km": round_half_even(leg["km"], 1),
             "overlapping": F.when(overlap, F.lit("true")), "impliedSpeedKmh": speed,
         }
         cases.append(Case("R6", HARD, leg["kmh"] > limits.speed_kmh, message, evidence))
@@ -334,7 +335,7 @@ def r8_cases(limits: Limits) -> list[Case]:
              r8_message(time_in, delta, F.col("arrival"), entered, F.col("departure")),
              {**key, "timeIn": time_in, "arrival": clock.iso_text(F.col("arrival")),
               "arrivalKind": F.when(entered, F.lit("dumpsite")).otherwise(F.lit("lastFix")),
-              "departure": clock.iso_text(F.col("departure")), "minutesEarly": F.bround(-delta, 1)}),
+              "departure": clock.iso_text(F.col("departure")), "minutesEarly": round_half_even(-delta, 1)}),
     ]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, geo, text
 from ..functions.binding import let
+from ..functions.rounding import round_half_even
 from ..operators import photos as reuse, traces
 from ..operators.findings import evidence_map
 from ..operators.ordered import numbered
@@ -129,7 +130,7 @@ def chk_r1(photos: DataFrame, cases: DataFrame) -> DataFrame:
     measured = F.coalesce(measured, F.lit(False))
     metres, limit = text.fixed0(d), text.fixed0(tol)
     seen = {
-        "distanceM": F.bround(d, 1), "toleranceM": tol, "marginM": F.lit(words.MARGIN_M), "gpsAccuracyM": acc,
+        "distanceM": round_half_even(d, 1), "toleranceM": tol, "marginM": F.lit(words.MARGIN_M), "gpsAccuracyM": acc,
         "reference": ref, "source": drain["source"],
     }
     note = F.when(measured, say("r1_accuracy", text.fixed0(F.when(measured, acc)))).otherwise(say("r1_no_accuracy"))
@@ -274,7 +275,7 @@ def chk_r6(traced: DataFrame, cases: DataFrame, limits: CaseLimits | None = None
     branches = [
         Branch(x.isNotNull(), FAIL, say("r6_clash", _name(), F.col("_other_name"), text.fixed(x["km"], 1), minutes), HARD,
                basis="supplied",
-               evidence={"otherEvidenceId": x["other"], "km": F.bround(x["km"], 2), "minutes": F.bround(x["minutes"], 1)}),
+               evidence={"otherEvidenceId": x["other"], "km": round_half_even(x["km"], 2), "minutes": round_half_even(x["minutes"], 1)}),
         Branch(_always(), PASS, say("r6_fine", _name()), basis="supplied"),
     ]
     return checks_of(rows, check("R6", branches))
@@ -353,10 +354,10 @@ def chk_r8(paired: DataFrame, limits: CaseLimits | None = None) -> DataFrame:
         Branch(F.abs(delta) > limits.slip_minutes, FAIL, r8_message(time_in, delta, arrival, entered, F.col("departure")),
                HARD, basis=_slip_basis(),
                evidence={"timeIn": time_in, "arrival": clock.iso_text(arrival), "arrivalKind": kind,
-                         "minutes": F.bround(delta, 1), "traceEvidenceId": F.col("trace_id")}),
+                         "minutes": round_half_even(delta, 1), "traceEvidenceId": F.col("trace_id")}),
         Branch(_always(), PASS,
                say("r8_within", time_in, F.lit(f"{limits.slip_minutes:.0f}"), spoken, clock.hhmm_text(arrival["wall_us"])),
-               basis=_slip_basis(), evidence={"minutes": F.bround(delta, 1), "arrivalKind": kind}),
+               basis=_slip_basis(), evidence={"minutes": round_half_even(delta, 1), "arrivalKind": kind}),
     ]))
 
 
@@ -404,15 +405,15 @@ def chk_t1(cases: DataFrame) -> DataFrame:
         unmet(needs((quantity.isNull(), "quantity"), (rate.isNull(), "rate"), (amount.isNull(), "amount"))),
         Branch(F.abs(expected - amount) > tolerance, FAIL,
                say("t1_differs", *sums, text.grouped(amount, 2), text.grouped(amount - expected, 2)), HARD, basis="supplied",
-               evidence={"expectedRupees": F.bround(expected, 2), "claimedRupees": amount}),
-        Branch(_always(), PASS, say("t1_same", *sums), basis="supplied", evidence={"expectedRupees": F.bround(expected, 2)}),
+               evidence={"expectedRupees": round_half_even(expected, 2), "claimedRupees": amount}),
+        Branch(_always(), PASS, say("t1_same", *sums), basis="supplied", evidence={"expectedRupees": round_half_even(expected, 2)}),
     ]))
 
 
 def chk_r10(cases: DataFrame) -> DataFrame:
     d, quantity = F.col("drain"), _quantity()
     ceiling = d["length_m"] * d["width_m"] * d["depth_m"] * (wording.SILT_DENSITY * wording.HEADROOM)
-    seen = dict(basis="supplied", evidence={"plausibleMaxTonnes": F.bround(ceiling, 1)})
+    seen = dict(basis="supplied", evidence={"plausibleMaxTonnes": round_half_even(ceiling, 1)})
     over = F.format_string(wording.SAY["r10_over"], text.fixed0(quantity), text.fixed0(ceiling))
     return checks_of(cases, check("R10", [
         unmet(needs((quantity.isNull(), "quantity"), (ceiling.isNull(), "dimensions"))),
