@@ -17,7 +17,7 @@ FALSE_WORDS = ["false", "no", "n", "0"]
 CONFIDENCE_WORDS = {"high": 0.85, "medium": 0.6, "moderate": 0.6, "low": 0.3}
 
 
-def _kind(v: Column) -> Column:
+def kind_of(v: Column) -> Column:
     """'bool', 'text', 'number' or 'other' for a VARIANT scalar; null for SQL NULL."""
     name = F.schema_of_variant(v)
     return (
@@ -31,7 +31,7 @@ def _kind(v: Column) -> Column:
 def _scalar(v: Column, body) -> Column:
     return let_all(
         body,
-        kind=_kind(v),
+        kind=kind_of(v),
         word=F.lower(text.strip(F.try_variant_get(v, "$", "string"))),
         number=F.try_variant_get(v, "$", "double"),
         flag=F.try_variant_get(v, "$", "boolean"),
