@@ -30,6 +30,11 @@ def with_views(sql: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" + sql.strip()
 
 
+def statements() -> dict[str, str]:
+    """Every query's complete statement."""
+    return {name: with_views(sql) for name, sql in ORACLE.items()}
+
+
 def query(name: str, sql: str | None = None):
     """Register a query under its inventory id, with its SQL when there is one."""
 
@@ -38,7 +43,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            ORACLE[name] = sql
         return fn
 
     return register

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 # Seconds a processor may hold an item, and an item may wait in the queue.
 LEASE_S = 120
 QUEUE_STALL_S = 600
@@ -15,3 +19,201 @@ def is_stalled(now_epoch: Column) -> Column:
     processing = (F.col("state") == "PROCESSING") & (F.coalesce("lease_until", F.lit(0)) < now_epoch)
     queued = (F.col("state") == "QUEUED") & F.coalesce(F.col("updated_at") + QUEUE_STALL_S < now_epoch, F.lit(True))
     return F.coalesce(processing | queued, F.lit(False))
+
+
+# ------------------------------------------------------------------ stalls
+# Error codes a retry cannot change, and the number of attempts.
+FINAL_ERRORS = ["UNREADABLE_IMAGE", "PDF_TOO_MANY_PAGES", "FILE_TOO_LARGE", "IMAGE_TOO_LARGE", "CHANGED_AFTER_UPLOAD"]
+MAX_ATTEMPTS = 3
+
+
+def stalled(items: DataFrame, now_epoch: Column) -> DataFrame:
+    """Adds ``stalled`` and ``retryable``. ``items`` has state, grp, attempts, error_code,
+    vision_ran, lease_until and updated_at (epoch seconds)."""
+    stuck = is_stalled(now_epoch)
+    tries_left = F.coalesce("attempts", F.lit(0)) < MAX_ATTEMPTS
+    failed = (F.col("state") == "FAILED") & ~F.coalesce(F.col("error_code").isin(FINAL_ERRORS), F.lit(False))
+    unseen = (F.col("state") == "READY") & (F.col("grp") == "photo") & ~F.coalesce("vision_ran", F.lit(False))
+    again = tries_left & ((F.col("grp").isin("photo", "slip") & stuck) | failed | unseen)
+    return items.withColumns({"stalled": stuck, "retryable": F.coalesce(again, F.lit(False))})
+
+
+# --------------------------------------------------------------- retention
+LIFETIME_S = 48 * 3600
+QUOTA_LIFETIME_S = 3 * 24 * 3600
+
+
+def expire(rows: DataFrame, now_epoch: Column, created: str = "created_at", lifetime_s: int = LIFETIME_S) -> DataFrame:
+    """Rows still kept: their lifetime since ``created`` (epoch seconds) is not over."""
+    return rows.where(F.col(created) + lifetime_s > now_epoch)
+
+
+# -------------------------------------------------------------- allowances
+def admit_calls(calls: DataFrame, daily: DataFrame, per_case: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+    """Adds ``admitted``: the first calls per case and kind, then the first of those per
+    day and kind. ``calls`` has case_id, kind, day; ``daily`` and ``per_case`` give a
+    ``limit`` per kind; a limit of 0 or none admits nothing."""
+
+    def within(df, keys, limits, flag):
+        ranked = numbered(df, keys, order, bucket, "_k")
+        capped = ranked.join(limits.select("kind", F.col("limit").alias("_limit")), "kind", "left")
+        return capped.withColumn(flag, F.col("_k") <= F.coalesce("_limit", F.lit(0))).drop("_k", "_limit")
+
+    first = within(calls, ["case_id", "kind"], per_case, "_case_ok")
+    kept = within(first.where("_case_ok"), ["day", "kind"], daily, "admitted")
+    refused = first.where(~F.col("_case_ok")).withColumn("admitted", F.lit(False))
+    return kept.unionByName(refused).drop("_case_ok")
+
+
+# ----------------------------------------------------------------- budgets
+@dataclass
+class Budget:
+    max_files: int = 24
+    max_bytes: int = 120 * 1024 * 1024
+    group_files: dict[str, int] = field(default_factory=lambda: {"photo": 12, "slip": 6, "bill": 2, "trace": 4})
+    # Cases up to this many uploads are folded in one row; larger ones in rounds.
+    fold_rows: int = 4096
+
+
+def admit_files(uploads: DataFrame, order: str, budget: Budget | None = None, stage=None) -> DataFrame:
+    """(case_id, order, admitted) of uploads (case_id, grp, size_bytes and the unique
+    ``order``): each is admitted when a file slot, a slot of its group and its bytes are
+    still free; a refused file uses nothing, so a later one may fit.
+
+    A case of ordinary size is folded inside one row. A larger one takes a round per
+    admitted file (at most ``max_files``): the next admitted file is the smallest
+    ``order`` that still fits, which is a plain aggregation."""
+    b = budget or Budget()
+    sizes = uploads.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
+    marked = uploads.select("case_id", "grp", "size_bytes", F.col(order).alias("_o")).join(sizes, "case_id")
+    small = _fold_budget(marked.where(F.col("_n") <= b.fold_rows), b)
+    large = marked.where(F.col("_n") > b.fold_rows).drop("_n")
+    admitted = small
+    if not large.isEmpty():
+        admitted = small.unionByName(_round_budget(large, b, stage or (lambda df, name: df)))
+    flags = admitted.select("case_id", F.col("_o").alias(order), F.lit(True).alias("admitted"))
+    return uploads.select("case_id", order).join(flags, ["case_id", order], "left").na.fill(False, ["admitted"])
+
+
+def _caps(b: Budget) -> Column:
+    return F.create_map(*[F.lit(x) for kv in b.group_files.items() for x in kv])
+
+
+def _fold_budget(df: DataFrame, b: Budget) -> DataFrame:
+    caps = _caps(b)
+    files = F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("grp").alias("g"), F.col("size_bytes").cast("bigint").alias("s"))))
+    start = F.struct(
+        F.array().cast("array<bigint>").alias("taken"), F.lit(0).cast("bigint").alias("bytes"), F.array().cast("array<string>").alias("groups")
+    )
+
+    def step(acc, f):
+        used = F.size(F.filter(acc["groups"], lambda g: g == f["g"]))
+        fits = (
+            (F.size(acc["taken"]) < b.max_files) & (acc["bytes"] + f["s"] <= b.max_bytes)
+            & (used < F.coalesce(F.try_element_at(caps, f["g"]), F.lit(0)))
+        )
+        return F.when(
+            fits,
+            F.struct(
+                F.concat(acc["taken"], F.array(f["o"].cast("bigint"))).alias("taken"), (acc["bytes"] + f["s"]).alias("bytes"),
+                F.concat(acc["groups"], F.array(f["g"])).alias("groups"),
+            ),
+        ).otherwise(acc)
+
+    folded = df.groupBy("case_id").agg(files.alias("_files"))
+    return folded.select("case_id", F.explode(F.aggregate("_files", start, step, lambda acc: acc["taken"])).alias("_o"))
+
+
+def _round_budget(df: DataFrame, b: Budget, stage) -> DataFrame:
+    caps = _caps(b)
+    state = df.select("case_id").distinct().select(
+        "case_id", F.lit(None).cast("bigint").alias("_last"), F.lit(0).cast("bigint").alias("_bytes"), F.array().cast("array<string>").alias("_groups")
+    )
+    taken = None
+    for turn in range(b.max_files):
+        open_rows = df.join(state, "case_id")
+        used = F.size(F.filter("_groups", lambda g: g == F.col("grp")))
+        fits = (
+            (F.col("_last").isNull() | (F.col("_o") > F.col("_last"))) & (F.col("_bytes") + F.col("size_bytes") <= b.max_bytes)
+            & (used < F.coalesce(F.try_element_at(caps, F.col("grp")), F.lit(0)))
+        )
+        found = open_rows.where(fits).groupBy("case_id").agg(F.min(F.struct("_o", "grp", "size_bytes")).alias("_f"))
+        state = stage(
+            state.join(found, "case_id").select(
+                "case_id", F.col("_f._o").cast("bigint").alias("_last"), (F.col("_bytes") + F.col("_f.size_bytes")).alias("_bytes"),
+                F.concat("_groups", F.array("_f.grp")).alias("_groups"),
+            ),
+            f"budget-{turn}",
+        )
+        one = state.select("case_id", F.col("_last").alias("_o"))
+        taken = one if taken is None else taken.unionByName(one)
+    return taken
+
+
+# ------------------------------------------------------------------ states
+# The states of an evidence item and the moves between them.
+STATES = ["UPLOADING", "UPLOADED", "QUEUED", "PROCESSING", "READY", "FAILED", "REJECTED"]
+MOVES = {
+    "UPLOADING": ["UPLOADED", "READY", "REJECTED"],
+    "UPLOADED": ["UPLOADED", "QUEUED", "READY", "REJECTED"],
+    "QUEUED": ["PROCESSING", "UPLOADED", "QUEUED"],
+    "PROCESSING": ["READY", "FAILED", "QUEUED", "PROCESSING"],
+    "READY": ["QUEUED"],
+    "FAILED": ["QUEUED"],
+    "REJECTED": [],
+}
+DIRECT_GROUPS = ["trace", "bill"]
+
+
+def _legal(start: Column, target: Column, grp: Column) -> Column:
+    """May an item move from ``start`` to ``target``? Traces and bills become READY at
+    once and are never queued; photos and slips must be processed first."""
+    moves = F.create_map(*[x for s, targets in MOVES.items() for x in (F.lit(s), F.array(*[F.lit(t) for t in targets]).cast("array<string>"))])
+    listed = F.coalesce(F.array_contains(F.try_element_at(moves, start), target), F.lit(False))
+    direct = grp.isin(DIRECT_GROUPS)
+    early = start.isin("UPLOADING", "UPLOADED") & (target == "READY")
+    return listed & F.when(direct, ~target.isin("QUEUED", "PROCESSING", "FAILED")).otherwise(~early)
+
+
+def evidence_state(log: DataFrame, order: str, bucket: Column) -> tuple[DataFrame, DataFrame]:
+    """(latest legal state per item, illegal moves) of a log of item_id, grp, state.
+
+    An item begins UPLOADING. An illegal move is listed and leaves the state alone.
+    Each bucket of an item's log is folded to a map from any state to the state after
+    it; the maps of an item are then folded in order. So a long log is spread over its
+    buckets and no item is replayed as a whole."""
+    rows = log.select("item_id", "grp", F.col(order).alias("_o"), F.col("state").alias("_to"), bucket.alias("_bucket"))
+    moves = F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_to").alias("to"))))
+    chunks = rows.groupBy("item_id", "grp", "_bucket").agg(moves.alias("_moves"))
+
+    def after(start):
+        return F.aggregate("_moves", start, lambda s, m: F.when(_legal(s, m["to"], F.col("grp")), m["to"]).otherwise(s))
+
+    table = F.map_from_arrays(F.array(*[F.lit(s) for s in STATES]), F.array(*[after(F.lit(s)) for s in STATES]))
+    mapped = chunks.withColumn("_table", table)
+    # One short map per bucket: the only thing gathered per item.
+    paths = mapped.groupBy("item_id", "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("_bucket").alias("b"), F.map_entries("_table").alias("t")))).alias("_path"))
+
+    def run(steps):
+        return F.aggregate(steps, F.lit("UPLOADING"), lambda s, x: F.coalesce(F.try_element_at(F.map_from_entries(x["t"]), s), s))
+
+    latest = paths.select("item_id", "grp", run(F.col("_path")).alias("state"))
+    starts = paths.select(
+        "item_id", "grp",
+        F.explode(
+            F.transform(
+                "_path",
+                lambda x, i: F.struct(x["b"].alias("_bucket"), run(F.slice("_path", F.lit(1), i)).alias("_start")),
+            )
+        ).alias("_s"),
+    ).select("item_id", "grp", "_s.*")
+    opened = chunks.join(starts, ["item_id", "grp", "_bucket"])
+    begin = F.struct(F.col("_start").alias("s"), F.array().cast("array<struct<o:bigint,from:string,to:string>>").alias("bad"))
+
+    def step(acc, m):
+        ok = _legal(acc["s"], m["to"], F.col("grp"))
+        refused = F.struct(m["o"].cast("bigint").alias("o"), acc["s"].alias("from"), m["to"].alias("to"))
+        return F.struct(F.when(ok, m["to"]).otherwise(acc["s"]).alias("s"), F.when(ok, acc["bad"]).otherwise(F.concat(acc["bad"], F.array(refused))).alias("bad"))
+
+    illegal = opened.select("item_id", F.explode(F.aggregate("_moves", begin, step, lambda acc: acc["bad"])).alias("_b"))
+    return latest, illegal.select("item_id", F.col("_b.o").alias(order), F.col("_b.from").alias("from_state"), F.col("_b.to").alias("to_state"))
