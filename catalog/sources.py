@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loadaudit.functions import geo, money
 from loadaudit.plans import bill
 from loadaudit.plans.fixturemap import FIXTURE_LIMITS, Fixture
-from loadaudit.plans.staging import shared_folder
+from loadaudit.plans.staging import shared_folder, spread
 from loadaudit.sources import features, files, manifests, readings, tables, traces
 
 from . import sqlviews
@@ -383,7 +383,7 @@ def ocr_texts(fx):
         block("TIME_IN", (F.lit("9:42"), vague)), block("TIME_OUT", (F.lit("unclear"), sure)), block("SITE"),
     ]
     content = F.concat(F.lit('{"Blocks":['), F.concat_ws(",", *blocks), F.lit("]}"))
-    return fx.table("orders").select(doc.alias("doc"), content.alias("content"))
+    return spread(fx.table("orders")).select(doc.alias("doc"), content.alias("content"))
 
 
 @query("src_10_ocr_answers", """
@@ -401,10 +401,18 @@ SELECT o_orderkey::VARCHAR AS s3_key, 'WB ' || o_orderkey AS ticket_no, printf('
  '09:42' AS time_in, array_to_string(list_filter([CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 6 = 0 THEN 'net' END, 'site', CASE WHEN o_orderkey % 6 = 0 THEN 'tare' END, 'timeOut'], lambda x: x IS NOT NULL), ',') AS missing,
  CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 6 <> 0 THEN 'gross-tare' END AS derived FROM orders""")
 def src_11(spark, d):
+    rows = readings.slip_rows(readings.read_slips(ocr_texts(Fixture(spark, d))))
+    return rows.select(
+        "s3_key", "ticket_no", "vehicle_no", "gross", "tare", "net", "time_in", F.array_join("missing_fields", ",").alias("missing"), F.col("net_derived").alias("derived")
+    )
+
+
+@query("src_11_from_answers", """
+SELECT count(*) AS docs, count(*) FILTER (WHERE o_orderkey % 4 <> 0 OR o_orderkey % 6 <> 0) AS with_net, count(*) FILTER (WHERE o_orderkey % 6 <> 0) AS with_tare FROM orders""")
+def src_11_long(spark, d):
+    """The same records from the long answers, by a pivot."""
     records = readings.slip_records(readings.ocr_answers(ocr_texts(Fixture(spark, d))))
-    rows = readings.slip_rows(records.withColumn("_d", F.col("net.derived")))
-    flat = rows.join(records.select(F.col("doc").alias("s3_key"), F.col("net.derived").alias("derived")), "s3_key")
-    return flat.select("s3_key", "ticket_no", "vehicle_no", "gross", "tare", "net", "time_in", F.array_join("missing_fields", ",").alias("missing"), "derived")
+    return records.agg(F.count(F.lit(1)).alias("docs"), F.count_if("net.ok").alias("with_net"), F.count_if("tare.ok").alias("with_tare"))
 
 
 def vision_texts(fx):

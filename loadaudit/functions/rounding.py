@@ -8,27 +8,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let_all
+from .binding import let
 
 _SPLIT = 134_217_729.0  # 2**27 + 1 separates a double into two exact halves
 
 
-def round_half_even(x: Column, digits: int) -> Column:
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` must be cheap to repeat: a column or a bound value."""
     scale = float(10**digits)
+    product = x * scale
+    high = x * _SPLIT - (x * _SPLIT - x)
+    # What the multiplication itself rounded off, exactly.
+    lost = (high * scale - product) + (x - high) * scale
+    down = F.floor(product)
+    on_half = (product - down == 0.5) & (lost != 0)
+    whole = F.when(on_half, F.when(lost > 0, down + 1).otherwise(down)).otherwise(F.rint(product))
+    return F.when(F.abs(x) < 1e12, whole / scale).otherwise(x)
+
 
-    def from_split(v):
-        product = v["x"] * scale
-        high = v["c"] - (v["c"] - v["x"])
-        # What the multiplication itself rounded off, exactly.
-        lost = (high * scale - product) + (v["x"] - high) * scale
-        return let_all(from_product, p=product, lost=lost)
-
-    def from_product(v):
-        down = F.floor(v["p"])
-        on_half = (v["p"] - down == 0.5) & (v["lost"] != 0)
-        whole = F.when(on_half, F.when(v["lost"] > 0, down + 1).otherwise(down)).otherwise(F.rint(v["p"]))
-        return whole / scale
-
-    x = x.cast("double")
-    small = F.abs(x) < 1e12
-    return F.when(small, let_all(from_split, x=x, c=x * _SPLIT)).otherwise(x)
+def round_half_even(x: Column, digits: int) -> Column:
+    return let(x.cast("double"), lambda v: rounded(v, digits))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .binding import let, let_all
-from .rounding import round_half_even
+from .rounding import round_half_even, rounded
 
 # Texts that mean "no answer", and digits commonly misread as letters.
 NO_ANSWER = ["", "-", "--", "---", "n/a", "na", "none", "nil", "?"]
@@ -38,7 +38,7 @@ def parse_weight_t(c: Column) -> Column:
     def from_number(text, value):
         in_kg = text.contains("kg") | (value > 200)
         readable = ~_unanswered(text) & text.rlike("[0-9]") & (value != 0)
-        return F.when(readable, round_half_even(F.when(in_kg, value / 1000.0).otherwise(value), 3))
+        return F.when(readable, F.when(in_kg, rounded(value / 1000.0, 3)).otherwise(rounded(value, 3)))
 
     return let(F.lower(strip(c)), from_text)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, hashing
+from ..plans.staging import stage
 from .ordered import neighbours
 from .photos import near_hashes
 
@@ -131,62 +132,81 @@ def audit_hashes(photos: DataFrame, copies: DataFrame, max_bits: int = 12, unrel
 
 
 # ----------------------------------------------------------- nearest drain
-CELL_SIZES = (45.0, 5.0, 0.5, 0.05, 0.005)
+CELL_SIZES = (2.0, 0.05, 0.0025)
 
 
-def locate(points: DataFrame, drains: DataFrame, by: tuple[str, ...] = (), point_id: str = "point_id", cells=CELL_SIZES) -> DataFrame:
+def locate(points: DataFrame, drains: DataFrame, by: tuple[str, ...] = (), point_id: str = "point_id", cells=CELL_SIZES, stage=stage) -> DataFrame:
     """(point_id, drain_id, distance_m): the first drain that contains the point, at 0 m,
     else the nearest centreline. ``points`` has lon and lat, ``drains`` a ``place`` (ties
     keep the lower), geofence and centreline; ``by`` columns must agree.
 
     Exact without comparing every pair. From coarse to fine, each occupied cell keeps
-    the drains that could be nearest to any of its points: with the nearest drain at
-    ``d`` from the cell's centre and half a diagonal of ``h``, those within ``d + 2h``.
-    Only the few left at the finest cell meet the points."""
+    the pieces that could matter to any of its points: fences whose box meets the cell,
+    and centreline segments within ``d + 2h`` of its centre, where ``d`` is the nearest
+    one's distance and ``h`` half the cell's diagonal. Only the few left at the finest
+    cell meet the points. The cell tables are small and staged per level."""
     by = list(by)
-    half = lambda size: geo.M_PER_DEG_LAT * size / math.sqrt(2)
-
-    def cell(size):
-        return F.concat_ws(":", F.floor(F.col("lon") / size).cast("string"), F.floor(F.col("lat") / size).cast("string"))
-
     located = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    finest = located.select(*by, F.floor(F.col("lon") / cells[-1]).alias("ix"), F.floor(F.col("lat") / cells[-1]).alias("iy")).distinct()
-    shapes = drains.select(*by, "drain_id", "place", "geofence", "centreline", geo.geometry_bbox(F.col("geofence")).alias("_box"))
-    candidates = shapes.withColumn("_parent", F.lit("all"))
-    parent_size = None
-    for size in cells:
-        x, y = (F.col("ix") + 0.5) * cells[-1], (F.col("iy") + 0.5) * cells[-1]
-        parent = F.lit("all") if parent_size is None else F.concat_ws(":", F.floor(x / parent_size).cast("string"), F.floor(y / parent_size).cast("string"))
-        here = finest.select(*by, parent.alias("_parent"), F.floor(x / size).alias("cx"), F.floor(y / size).alias("cy")).distinct()
+    fine = cells[-1]
+    index = {"ix": F.floor(F.col("lon") / fine), "iy": F.floor(F.col("lat") / fine)}
+    occupied = stage(located.select(*by, *[v.alias(k) for k, v in index.items()]).distinct(), "cells")
+
+    def at(coordinate: str, size: float):
+        """The cell of ``size`` that holds a finest cell's centre."""
+        return F.floor((F.col(coordinate) + 0.5) * fine / size)
+
+    n = F.size("centreline")
+    single = F.when(n == 1, F.concat("centreline", "centreline")).otherwise(F.col("centreline"))
+    ends = F.arrays_zip(F.slice(single, F.lit(1), F.size(single) - 1).alias("a"), F.slice(single, F.lit(2), F.size(single) - 1).alias("b"))
+    segments = drains.where(n > 0).select(
+        *by, "drain_id", "place", F.explode(ends).alias("s"), (n == 1).alias("lone")
+    ).select(*by, "drain_id", "place", "lone", "s.a", "s.b")
+    fences = drains.where(F.size("geofence") > 0).select(
+        *by, "drain_id", "place", "geofence", geo.geometry_bbox(F.col("geofence")).alias("box")
+    )
+    pieces = segments.unionByName(fences, allowMissingColumns=True)
+    candidates, parent = pieces.select("*", F.lit(0).alias("px"), F.lit(0).alias("py")), None
+
+    def reach_m(p):
+        """Metres from a point to the piece's segment; null for a fence."""
+        far = geo.metres_between(p, F.col("a"))
+        return F.when(F.col("a").isNotNull(), F.when(F.col("lone"), far).otherwise(geo.dist_to_segment_m(p, F.col("a"), F.col("b"))))
+
+    for level, size in enumerate(cells):
+        above = [F.lit(0), F.lit(0)] if parent is None else [at("ix", parent), at("iy", parent)]
+        here = occupied.select(
+            *by, above[0].alias("px"), above[1].alias("py"), at("ix", size).alias("cx"), at("iy", size).alias("cy")
+        ).distinct()
         west, south = F.col("cx") * size, F.col("cy") * size
-        centre = geo.pt(west + size / 2, south + size / 2)
-        met = candidates.join(here, [*by, "_parent"]).withColumns(
-            {
-                "_d": geo.dist_to_line_m(centre, F.col("centreline")),
-                "_over": F.coalesce(
-                    (F.col("_box.min_lon") <= west + size) & (F.col("_box.max_lon") >= west)
-                    & (F.col("_box.min_lat") <= south + size) & (F.col("_box.max_lat") >= south), F.lit(False)
-                ),
-            }
+        box = F.col("box")
+        over = (
+            (box["min_lon"] <= west + size + 1e-9) & (box["max_lon"] >= west - 1e-9)
+            & (box["min_lat"] <= south + size + 1e-9) & (box["max_lat"] >= south - 1e-9)
         )
-        bound = met.groupBy(*by, "cx", "cy").agg(F.min("_d").alias("_min"))
-        reach = F.col("_min") + 2 * half(size) * (1 + 1e-9) + 1e-3
-        kept = met.join(bound, [*by, "cx", "cy"]).where(F.col("_over") | ((F.col("_d") <= reach) & (F.col("_d") < float("inf"))))
+        met = candidates.join(here, [*by, "px", "py"]).withColumn("_d", reach_m(geo.pt(west + size / 2, south + size / 2)))
+        met = stage(met.where(F.col("a").isNotNull() | over), f"near-{level}")
+        nearest = met.groupBy(*by, "cx", "cy").agg(F.min("_d").alias("_min"))
+        half = geo.M_PER_DEG_LAT * size / math.sqrt(2)
+        kept = met.join(nearest, [*by, "cx", "cy"]).where(F.col("_d").isNull() | (F.col("_d") <= F.col("_min") + 2 * half * (1 + 1e-9) + 1e-3))
         candidates = kept.select(
-            *by, "drain_id", "place", "geofence", "centreline", "_box",
-            F.concat_ws(":", F.col("cx").cast("string"), F.col("cy").cast("string")).alias("_parent"),
+            *by, "drain_id", "place", "lone", "a", "b", "geofence", "box", F.col("cx").alias("px"), F.col("cy").alias("py")
         )
-        parent_size = size
-    here = geo.pt(F.col("lon"), F.col("lat"))
-    inside = geo.in_fence(F.col("lon"), F.col("lat"), F.col("geofence"), F.col("_box"))
-    met = located.select(*by, point_id, "lon", "lat", cell(cells[-1]).alias("_parent")).join(candidates, [*by, "_parent"], "left")
-    d = F.when(F.coalesce(inside, F.lit(False)), F.lit(0.0)).otherwise(geo.dist_to_line_m(here, F.col("centreline")))
-    rank = F.when(F.coalesce(inside, F.lit(False)), 0).when(F.col("drain_id").isNotNull(), 1).otherwise(2)
-    best = met.groupBy(*by, point_id).agg(
-        F.min(F.struct(rank.alias("rank"), d.alias("d"), F.col("place").alias("place"), F.col("drain_id").alias("drain_id"))).alias("_b")
+        parent = size
+    met = located.select(*by, point_id, "lon", "lat", at_point("lon", fine).alias("px"), at_point("lat", fine).alias("py")).join(
+        candidates, [*by, "px", "py"], "left"
     )
-    found = F.col("_b.d") < float("inf")
-    return best.select(*by, point_id, F.when(found, F.col("_b.drain_id")).alias("drain_id"), F.col("_b.d").alias("distance_m"))
+    inside = geo.in_fence(F.col("lon"), F.col("lat"), F.col("geofence"), F.col("box"))
+    d = F.when(F.col("geofence").isNotNull(), F.when(inside, F.lit(-1.0))).otherwise(reach_m(geo.pt(F.col("lon"), F.col("lat"))))
+    measured = met.select(*by, point_id, "drain_id", "place", d.alias("_d"))
+    ranked = F.when(F.col("_d").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("place").alias("place"), F.col("drain_id").alias("drain_id")))
+    best = measured.groupBy(*by, point_id).agg(F.min(ranked).alias("_b"))
+    return best.select(
+        *by, point_id, F.col("_b.drain_id").alias("drain_id"), F.coalesce(F.greatest("_b.d", F.lit(0.0)), F.lit(float("inf"))).alias("distance_m")
+    )
+
+
+def at_point(coordinate: str, size: float):
+    return F.floor(F.col(coordinate) / size)
 
 
 def field_report(photos: DataFrame, drains: DataFrame, by: tuple[str, ...] = (), band_m: float = 60.0, prefix: int = 6) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,8 @@ missing is NOT_EVALUATED and never reads as passed."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -71,10 +73,26 @@ def unmet(missing: Column) -> Branch:
     return Branch(F.size(missing) > 0, NOT_EVALUATED, say("insufficient"), missing=missing)
 
 
+_lean = ContextVar("lean", default=False)
+
+
+@contextmanager
+def outcomes_only():
+    """Checks built inside carry their status and basis but no words or evidence; a
+    count of statuses then computes nothing else."""
+    token = _lean.set(True)
+    try:
+        yield
+    finally:
+        _lean.reset(token)
+
+
 def check(rule: str, branches: list[Branch]) -> Column:
     """The first branch that holds."""
 
     def outcome(b: Branch) -> Column:
+        if _lean.get():
+            b = Branch(b.when, b.status, F.lit(None).cast("string"), b.severity, basis=b.basis)
         basis = b.basis if isinstance(b.basis, Column) else F.lit(b.basis).cast("string")
         missing = b.missing if b.missing is not None else F.array().cast("array<string>")
         return F.struct(
@@ -530,6 +548,9 @@ class CaseReport:
 
     @cached_property
     def checks(self) -> DataFrame:
+        return with_titles(demote_mocked(self._parts()))
+
+    def _parts(self) -> DataFrame:
         t = self.tables
         paired = paired_slips(t.slips, self.traced, t.cases)
         parts = [
@@ -548,11 +569,12 @@ class CaseReport:
             chk_t3(t.cases, t.slips),
             chk_absent(t.cases, t.photos, t.slips, self.traced, same_truck_traces(self.traced, t.cases)),
         ]
-        return with_titles(demote_mocked(reduce(DataFrame.unionByName, parts)))
+        return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def counts(self) -> DataFrame:
-        return status_counts(self.checks)
+        with outcomes_only():
+            return status_counts(demote_mocked(self._parts()))
 
 
 def evaluate_cases(tables: CaseTables, limits: CaseLimits | None = None, **options) -> CaseReport:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, money, text
 from .bill import BillCase, Limits
+from .staging import spread
 
 BLOCK_DAYS = 3
 FIXTURE_LIMITS = Limits(soft_band_m=600.0, speed_kmh=1.0, slip_minutes=120.0, gap_s=12 * 3600.0, reuse_bits=20)
@@ -91,7 +92,7 @@ class Fixture:
         whole = F.col("l_quantity").cast("int")
         printed = F.when(F.col("l_orderkey") % 2 == 0, _text(whole, " T")).otherwise(_text(whole * 1000, " kg"))
         misread = F.when(F.col("l_orderkey") % 3 == 0, F.translate(printed, "0", "O")).otherwise(printed)
-        return self._loads.withColumn("raw_net", F.when(F.col("l_tax") != 0, misread))
+        return spread(self._loads).withColumn("raw_net", F.when(F.col("l_tax") != 0, misread))
 
     @cached_property
     def weighed_slips(self) -> DataFrame:

@@ -27,11 +27,9 @@ OCR_DDL = (
 
 
 # -------------------------------------------------------------------- slips
-def ocr_answers(docs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """(doc, alias, text, confidence): per query the non-empty answer of highest
-    confidence, the first on a tie; a query without one keeps nulls. A later query of
-    the same alias replaces an earlier one."""
-    blocks = F.from_json(F.col(content), OCR_DDL)["Blocks"]
+def _answers(content: Column) -> Column:
+    """``array<struct<alias,best struct<confidence,turn,text>>>`` of one response."""
+    blocks = F.from_json(content, OCR_DDL)["Blocks"]
 
     def best_answer(query, all_blocks):
         ids = F.flatten(
@@ -61,7 +59,14 @@ def ocr_answers(docs: DataFrame, content: str = "content", keep: tuple[str, ...]
             lambda a, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["alias"] == a["alias"]),
         )
 
-    rows = docs.select(*keep, F.explode(let(let(blocks, answers_of), last_of_alias)).alias("a"))
+    return let(let(blocks, answers_of), last_of_alias)
+
+
+def ocr_answers(docs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """(doc, alias, text, confidence): per query the non-empty answer of highest
+    confidence, the first on a tie; a query without one keeps nulls. A later query of
+    the same alias replaces an earlier one."""
+    rows = docs.select(*keep, F.explode(_answers(F.col(content))).alias("a"))
     return rows.select(*keep, "a.alias", F.col("a.best.text").alias("text"), F.col("a.best.confidence").alias("confidence"))
 
 
@@ -75,6 +80,21 @@ def slip_records(answers: DataFrame, keys: tuple[str, ...] = ("doc",)) -> DataFr
             for alias, name in FIELDS.items()
         ]
     )
+    return _typed(wide, keys)
+
+
+def read_slips(docs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """Slip records straight from the responses: within each row, without a shuffle."""
+    found = docs.select(*keep, _answers(F.col(content)).alias("_found"))
+
+    def answer(alias):
+        best = F.get(F.filter("_found", lambda a: a["alias"] == alias), F.lit(0))["best"]
+        return F.struct(best["text"].alias("raw"), best["confidence"].alias("confidence"))
+
+    return _typed(found.select(*keep, *[answer(alias).alias(f"_{name}") for alias, name in FIELDS.items()]), keep)
+
+
+def _typed(wide: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     readers = {
         "ticketNo": text.clean_text, "vehicleNo": text.parse_plate, "gross": text.parse_weight_t,
         "tare": text.parse_weight_t, "net": text.parse_weight_t, "timeIn": text.parse_hhmm,
@@ -127,7 +147,7 @@ def slip_rows(records: DataFrame, key: str = "doc") -> DataFrame:
         F.col("ticketNo.value").alias("ticket_no"), F.col("vehicleNo.value").alias("vehicle_no"),
         F.col("gross.value").alias("gross"), F.col("tare.value").alias("tare"), F.col("net.value").alias("net"),
         F.col("timeIn.value").alias("time_in"), F.col("timeOut.value").alias("time_out"), F.col("site.value").alias("site"),
-        "missing_fields",
+        "missing_fields", F.col("net.derived").alias("net_derived"),
     )
 
 
