@@ -38,12 +38,12 @@ def ledger_trips(fx):
     drain_rules = volume.select(*KEYS, findings.rule_ids(bill.volume_cases(), SOFT).alias("drain_soft"))
     joined = judged(fx).join(drain_rules, KEYS)
     own = slip_cases()
-    rows = joined.select(
+    return joined.select(
         *KEYS, "trip_id", "claimed_tonnes",
         findings.rule_ids(own, HARD).alias("hard_fails"),
         F.array_sort(F.array_union(findings.rule_ids(own, SOFT), F.col("drain_soft"))).alias("soft_fails"),
+        rollup.verdict(findings.any_case(own, HARD), findings.any_case(own, SOFT) | (F.size("drain_soft") > 0)).alias("verdict"),
     )
-    return rows.withColumn("verdict", rollup.verdict(F.col("hard_fails"), F.col("soft_fails")))
 
 
 def ledger_drains(fx):

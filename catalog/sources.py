@@ -383,7 +383,7 @@ def ocr_texts(fx):
         block("TIME_IN", (F.lit("9:42"), vague)), block("TIME_OUT", (F.lit("unclear"), sure)), block("SITE"),
     ]
     content = F.concat(F.lit('{"Blocks":['), F.concat_ws(",", *blocks), F.lit("]}"))
-    return spread(fx.table("orders")).select(doc.alias("doc"), content.alias("content"))
+    return spread(fx.table("orders"), "o_orderkey").select(doc.alias("doc"), content.alias("content"))
 
 
 @query("src_10_ocr_answers", """

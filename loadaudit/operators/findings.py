@@ -61,6 +61,15 @@ def rule_ids(cases: list[Case], severity: str) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))
 
 
+def any_case(cases: list[Case], severity: str) -> Column:
+    """Does any case of one severity hold? Plain booleans, for verdicts over many rows."""
+    held = F.lit(False)
+    for c in cases:
+        if c.severity == severity:
+            held = held | F.coalesce(c.when, F.lit(False))
+    return held
+
+
 def explode_findings(df: DataFrame, cases: list[Case], keep: list[str]) -> DataFrame:
     """One row per finding: ``keep``, position, rule, severity, rule_text, message, evidence."""
     texts = F.create_map(*[F.lit(x) for kv in wording.RULE_TEXT.items() for x in kv])

@@ -11,11 +11,9 @@ from ..plans.wording import AMBER, GREEN, HARD, HOLD, RED, REVIEW, VERIFIED
 TRIP_KEYS = ("bill_id", "trip_id")
 
 
-def verdict(hard: Column, soft: Column) -> Column:
+def verdict(any_hard: Column, any_soft: Column) -> Column:
     """Any hard rule holds, any other finding asks for review."""
-    return (
-        F.when(F.size(hard) > 0, F.lit(HOLD)).when(F.size(soft) > 0, F.lit(REVIEW)).otherwise(F.lit(VERIFIED))
-    )
+    return F.when(any_hard, F.lit(HOLD)).when(any_soft, F.lit(REVIEW)).otherwise(F.lit(VERIFIED))
 
 
 def trip_verdicts(findings: DataFrame, trips: DataFrame, keys=TRIP_KEYS) -> DataFrame:
@@ -31,7 +29,7 @@ def trip_verdicts(findings: DataFrame, trips: DataFrame, keys=TRIP_KEYS) -> Data
     joined = trips.join(per_trip, keys, "left").withColumns(
         {c: F.coalesce(F.col(c), empty) for c in ("hard_fails", "soft_fails")}
     )
-    return joined.withColumn("verdict", verdict(F.col("hard_fails"), F.col("soft_fails")))
+    return joined.withColumn("verdict", verdict(F.size("hard_fails") > 0, F.size("soft_fails") > 0))
 
 
 def _tonnes_when(condition: Column) -> Column:

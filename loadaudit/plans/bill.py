@@ -454,8 +454,13 @@ class Audit:
             merged(HARD, "drain_hard").alias("hard_fails"),
             merged(SOFT, "drain_soft").alias("soft_fails"),
             F.concat("drain_hard", "drain_soft").alias("from_drain_evidence"),
+            # From the conditions, not the lists: a roll-up that ignores the lists never builds them.
+            rollup.verdict(
+                findings.any_case(self._trip_cases, HARD) | (F.size("drain_hard") > 0),
+                findings.any_case(self._trip_cases, SOFT) | (F.size("drain_soft") > 0),
+            ).alias("verdict"),
         )
-        return named.withColumn("verdict", rollup.verdict(F.col("hard_fails"), F.col("soft_fails")))
+        return named
 
     @cached_property
     def drains(self) -> DataFrame:

@@ -69,7 +69,7 @@ class Fixture:
             F.col("l_orderkey"), "-", F.col("l_linenumber"), "-", F.col("l_partkey"), "-", F.col("l_suppkey"), "-",
             F.date_format("l_shipdate", "yyyyMMdd"),
         )
-        return spread(self.table("lineitem")).withColumn("trip_id", trip)
+        return self.table("lineitem").withColumn("trip_id", trip)
 
     @cached_property
     def supplier_trips(self) -> DataFrame:
@@ -92,7 +92,7 @@ class Fixture:
         whole = F.col("l_quantity").cast("int")
         printed = F.when(F.col("l_orderkey") % 2 == 0, _text(whole, " T")).otherwise(_text(whole * 1000, " kg"))
         misread = F.when(F.col("l_orderkey") % 3 == 0, F.translate(printed, "0", "O")).otherwise(printed)
-        return self._loads.withColumn("raw_net", F.when(F.col("l_tax") != 0, misread))
+        return spread(self._loads, "l_orderkey").withColumn("raw_net", F.when(F.col("l_tax") != 0, misread))
 
     @cached_property
     def weighed_slips(self) -> DataFrame:
