@@ -9,7 +9,12 @@ from . import sqlviews
 from .registry import query
 
 D = "::DOUBLE"
-HERE = geo.pt(F.col("lon"), F.col("lat"))
+
+
+def here():
+    return geo.pt(F.col("lon"), F.col("lat"))
+
+
 LINE = [(72.80, 19.00), (72.85, 19.02), (72.90, 19.01)]
 RING = [(72.81, 19.0), (72.88, 19.0), (72.86, 19.03), (72.83, 19.015)]
 HOLE = [(72.84, 19.003), (72.85, 19.003), (72.85, 19.009), (72.84, 19.009)]
@@ -38,12 +43,12 @@ SELECT seq, round((lon - 72.8::DOUBLE) * 111320.0::DOUBLE * cos(radians(19.0::DO
   round(lon, 7) AS back_lon, round(lon + 50 / (111320.0::DOUBLE * cos(radians(lat))), 7) AS east_lon, round(lon + (72.8::DOUBLE - lon) * 0.25::DOUBLE, 7) AS mid_lon FROM v_point""")
 def fn_02(spark, d):
     origin = geo.pt(72.8, 19.0)
-    local = geo.to_local_m(HERE, origin)
+    local = geo.to_local_m(here(), origin)
     return events(spark, d).select(
         "seq", F.round(local["x"], 3).alias("x"), F.round(local["y"], 3).alias("y"),
         F.round(geo.from_local_m(local, origin)["lon"], 7).alias("back_lon"),
-        F.round(geo.offset_m(HERE, 50.0, 0.0)["lon"], 7).alias("east_lon"),
-        F.round(geo.lerp(HERE, origin, 0.25)["lon"], 7).alias("mid_lon"),
+        F.round(geo.offset_m(here(), 50.0, 0.0)["lon"], 7).alias("east_lon"),
+        F.round(geo.lerp(here(), origin, 0.25)["lon"], 7).alias("mid_lon"),
     )
 
 
@@ -65,7 +70,7 @@ SELECT seq, round(min(sqrt(power(px - t * vx, 2) + power(py - t * vy, 2))), 3) A
     (b.x - a.x) * 111320.0{D} * cos(radians(a.y)) AS vx, (b.y - a.y) * 111320.0{D} AS vy
   FROM v_point, (VALUES {VALUES(LINE)}) a(i, x, y) JOIN (VALUES {VALUES(LINE)}) b(i, x, y) ON b.i = a.i + 1)) GROUP BY seq""")
 def fn_05(spark, d):
-    return events(spark, d).select("seq", F.round(geo.dist_to_line_m(HERE, geo.line_literal(LINE)), 3).alias("metres"))
+    return events(spark, d).select("seq", F.round(geo.dist_to_line_m(here(), geo.line_literal(LINE)), 3).alias("metres"))
 
 
 def quad(lon, lat, dx=0.01, dy=0.006):
@@ -103,7 +108,7 @@ def fn_08(spark, d):
 
 
 @query("fn_08_thin_route", """
-SELECT user_id::VARCHAR AS trace_key, count(*) AS kept, sum(i) AS places FROM (
+SELECT user_id::VARCHAR AS trace_key, count(*) AS kept, sum(i)::BIGINT AS places FROM (
   SELECT user_id, i, n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
   WHERE n <= 20 OR i = n - 1 OR i IN (SELECT floor(k * (n / 19.0::DOUBLE))::BIGINT FROM range(0, 19) r(k))) GROUP BY ALL""")
 def fn_08_rows(spark, d):
@@ -225,11 +230,11 @@ def fn_17(spark, d):
 SELECT seq, 49 AS vertices, round(lon + 100 / (111320.0{D} * cos(radians(lat))), 7) AS east, round(lat + 200 / 111320.0{D}, 7) AS north,
   true AS centre_inside FROM v_point""")
 def fn_18(spark, d):
-    ring = geo.circle(HERE, F.lit(100.0))
+    ring = geo.circle(here(), F.lit(100.0))
     inside = geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
     return events(spark, d).withColumn("ring", ring).select(
         "seq", F.size("ring").alias("vertices"), F.round(F.get("ring", F.lit(0))["lon"], 7).alias("east"),
-        F.round(F.get(geo.square(HERE, 200.0), F.lit(2))["lat"], 7).alias("north"), inside.alias("centre_inside"),
+        F.round(F.get(geo.square(here(), 200.0), F.lit(2))["lat"], 7).alias("north"), inside.alias("centre_inside"),
     )
 
 
@@ -287,7 +292,7 @@ def fn_22(spark, d):
 SELECT seq, CASE WHEN seq % 2 = 0 THEN false ELSE {sqlviews.haversine('lat', 'lon', '72.85' + D, '19.005' + D)} > 500000
   AND {sqlviews.haversine('lon', 'lat', '72.85' + D, '19.005' + D)} < 50000 END AS swapped FROM v_point""")
 def fn_23(spark, d):
-    flipped = F.when(F.col("seq") % 2 == 0, HERE).otherwise(geo.pt(F.col("lat"), F.col("lon")))
+    flipped = F.when(F.col("seq") % 2 == 0, here()).otherwise(geo.pt(F.col("lat"), F.col("lon")))
     return events(spark, d).select("seq", geo.swapped_hint(flipped, geo.pt(72.85, 19.005)).alias("swapped"))
 
 

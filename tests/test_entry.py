@@ -7,3 +7,13 @@ def test_flagship_and_registry(spark):
     assert contract.entry(spark).count() > 0
     names, sql = set(contract.queries()), set(contract.oracle_sql())
     assert sql <= names and len(names) > 130
+
+
+def test_registry_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
