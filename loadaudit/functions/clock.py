@@ -63,10 +63,12 @@ def _time(wall: Column, offset: Column) -> Column:
     return F.struct(wall.alias("wall_us"), offset.cast("int").alias("offset_min"), (wall - shift).alias("epoch_us"))
 
 
-def from_timestamp(c: Column) -> Column:
-    """A TIMESTAMP or TIMESTAMP_NTZ column as wall-clock parts without an offset."""
-    parts = iso_parts(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-    return F.when(c.isNotNull(), parts)
+def wall_us(c: Column) -> Column:
+    """The wall clock of a TIMESTAMP_NTZ column in microseconds, whatever the session's
+    time zone."""
+    second = F.extract(F.lit("SECOND"), c)
+    in_day = (F.hour(c) * 3600 + F.minute(c) * 60).cast("bigint") * 1_000_000 + (second * 1_000_000).cast("bigint")
+    return F.unix_date(c.cast("date")).cast("bigint") * DAY_US + in_day
 
 
 def aligned_us(stamp: Column, like: Column) -> Column:

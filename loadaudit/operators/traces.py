@@ -24,7 +24,7 @@ def with_times(points: DataFrame) -> DataFrame:
         return parsed.select(*points.columns, "_at.*")
     # Typed columns need no text parsing: the wall clock is the stored value.
     t = F.col("t")
-    at = F.unix_micros(t.cast("timestamp"))
+    at = clock.wall_us(t) if isinstance(points.schema["t"].dataType, T.TimestampNTZType) else F.unix_micros(t)
     return points.select(
         "*", at.alias("wall_us"), F.lit(None).cast("int").alias("offset_min"), at.alias("epoch_us")
     )

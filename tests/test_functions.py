@@ -124,3 +124,13 @@ def test_money(spark):
     assert apply(spark, money.indian_group, [999, 1240, 345600, 12345678], "bigint") == ["999", "1,240", "3,45,600", "1,23,45,678"]
     assert apply(spark, lambda c: money.rupees(c, F.lit(1)), [2.5, 3.5], "double") == [2, 4]
     assert apply(spark, money.lakh, [666000], "bigint") == ["6.66"]
+
+
+def test_wall_clock_ignores_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.25' AS t").select(clock.wall_us(F.col("t"))).collect()[0][0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == 1710037800250000
