@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, quality_rules, suffix_dedup, token_files
+from . import decontaminate, ngram_join, packing, quality_rules, suffix_dedup, token_files
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", "item_id", "n_grams", "n_found", (F.col("n_found") / F.col("n_grams")).alias("containment"))
+
+
+STATEMENTS["op9_decontaminate"] = r"""
+WITH split AS (
+  SELECT doc_id AS id, 0 AS kind, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT item_id, 1, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') FROM benchmark
+), grams AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM split
+), sizes AS (SELECT id AS item_id, count(*) AS n_grams FROM grams WHERE kind = 1 GROUP BY id),
+found AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM grams i JOIN grams d ON d.g = i.g AND d.kind = 0 AND i.kind = 1 GROUP BY ALL
+)
+SELECT doc_id, item_id, n_grams, n_found, n_found / n_grams AS containment FROM found JOIN sizes USING (item_id) WHERE 5 * n_found >= 4 * n_grams
+"""
