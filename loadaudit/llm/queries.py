@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, quality_rules, suffix_dedup, token_files
+from . import decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_files
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,35 @@ found AS (
 )
 SELECT doc_id, item_id, n_grams, n_found, n_found / n_grams AS containment FROM found JOIN sizes USING (item_id) WHERE 5 * n_found >= 4 * n_grams
 """
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws("-", a, b)), ",")
+    return out.select("doc_id", "n_units", F.size("starts").cast("bigint").alias("n_removed"), spans.alias("removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+STATEMENTS["op7_line_dedup"] = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents),
+each AS (SELECT doc_id, unnest(units) AS unit, unnest(range(len(units))) AS nth FROM docs),
+placed AS (
+  SELECT *, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
+    trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal
+  FROM each
+), ranked AS (
+  SELECT *, normal <> '' AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, nth) > 1 AS gone FROM placed
+)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(start || '-' || (start + length(unit)), ',' ORDER BY nth) FILTER (gone), '') AS removed,
+  sha256(coalesce(string_agg(unit, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda: F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    learned = language_id.dictionaries(docs, ~F.coalesce(fold(), F.lit(False)))
+    return language_id.predict(docs, learned).select("doc_id", fold().alias("held_out"), "lang_pred", "score", "accepted")
