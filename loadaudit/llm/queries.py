@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, token_files
+from . import decontaminate, language_id, line_dedup, ngram_join, packing, quality_crf, quality_rules, suffix_dedup, token_files
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = lambda: F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     learned = language_id.dictionaries(docs, ~F.coalesce(fold(), F.lit(False)))
     return language_id.predict(docs, learned).select("doc_id", fold().alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda: F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    field = quality_crf.train(docs, table(spark, sf_dir, "labels"), ~fold())
+    scored = quality_crf.score(docs, field)
+    return scored.select("doc_id", fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "bad_lines")
