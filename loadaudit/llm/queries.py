@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, ngram_join, packing, quality_crf, quality_rules, suffix_dedup, token_files
+from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, quality_crf, quality_rules, suffix_dedup, token_files
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = quality_crf.train(docs, table(spark, sf_dir, "labels"), ~fold())
     scored = quality_crf.score(docs, field)
     return scored.select("doc_id", fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "bad_lines")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
