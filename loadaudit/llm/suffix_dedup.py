@@ -30,13 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, batch, chunks, cut, keyed
+from .common import ID, ROW, TEXT, batch, chunks, cut
 
 #: Bytes under the rolling hash.
 GRAM = 16
-_PHRASES = pa.schema([("key", pa.int64()), ("whole", pa.int64()), (ROW, pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
+_PHRASES = pa.schema([("key", pa.int64()), ("whole", pa.int64()), (ROW, pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("more", pa.list_(pa.int32()))])
 _STRINGS = pa.schema([("key", pa.int64()), ("string", pa.int64()), (ROW, pa.int64()), ("first", pa.int32())])
-_RESULT = pa.schema([(ID, pa.int64()), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())])
 _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, GRAM - 1 - j, 1 << 64) for j in range(GRAM)], _U)
 
@@ -79,6 +78,18 @@ def phrases(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return text[at], start[at], np.diff(at, append=total), trigger[at]
 
 
+def _gathered(key: np.ndarray, whole: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(places of the first of equal phrases of a text, where the others start): a text that
+    repeats a word a thousand times sends one row."""
+    order = np.lexsort((first, whole, key, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (text[order][1:] != text[order][:-1]) | (key[order][1:] != key[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+    others = np.diff(np.flatnonzero(new), append=len(order)) - 1
+    places = np.concatenate([[0], np.cumsum(others)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(places, mask=np.append(others == 0, False)), pa.array(first[order][~new]))
+    return order[new], lists
+
+
 def _parse(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,7 +102,9 @@ def _parse(length: int):
                 key = [digest(data[t : t + half]) for t in trigger.tolist()]
                 # The place of the trigger belongs to the phrase.
                 whole = [digest(data[f : f + k + length - 1], seed=t - f) for f, k, t in zip(first.tolist(), n.tolist(), trigger.tolist(), strict=True)]
-                yield batch(_PHRASES, _signed(key), _signed(whole), row, (first - off[text]).astype(np.int32), n.astype(np.int32))
+                key, whole, first = _signed(key), _signed(whole), (first - off[text]).astype(np.int32)
+                at, more = _gathered(key, whole, text, first)
+                yield batch(_PHRASES, key[at], whole[at], row[at], first[at], n[at].astype(np.int32), more)
 
     return run
 
@@ -100,12 +113,13 @@ def _strings(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
+            first_list, n_list, key_list = (b.column(b.schema.get_field_index(c)) for c in ("first", "n", "key"))
             for lo, hi, buf, off in chunks(b.column(1), 1 << 18):
                 data = memoryview(buf)
                 parts = []
                 for i in range(lo, hi):
                     at, row = int(off[i - lo]), b.column(2)[i].as_py()
-                    first, n, key = (b.column(c)[i].values.to_numpy() for c in (3, 4, 5))
+                    first, n, key = (c[i].values.to_numpy() for c in (first_list, n_list, key_list))
                     place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                     found = _signed([digest(data[at + p : at + p + length]) for p in place.tolist()])
                     parts.append((np.repeat(key, n), found, np.full(len(place), row), place.astype(np.int32)))
@@ -115,30 +129,36 @@ def _strings(length: int):
     return run
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi, buf, off in chunks(b.column(1)):
-            starts, ends, kept = [], [], []
-            for i in range(lo, hi):
-                own = buf[off[i - lo] : off[i - lo + 1]]
-                if not b.column(2)[i].is_valid:
-                    starts.append([])
-                    ends.append([])
-                    kept.append(own.tobytes())
-                    continue
-                edge = np.bincount(b.column(2)[i].values.to_numpy(), minlength=len(own) + 1) - np.bincount(b.column(3)[i].values.to_numpy(), minlength=len(own) + 1)
-                gone = np.cumsum(edge[:-1]) > 0
-                turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                starts.append(turn[::2])
-                ends.append(turn[1::2])
-                kept.append(own[~gone].tobytes())
-            yield batch(_RESULT, b.column(0).slice(lo, hi - lo), np.diff(off), starts, ends, kept)
+def _remove(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, carried, start, end = (b.column(b.schema.get_field_index(c)) for c in (TEXT, "carried", "start", "end"))
+            kind = pa.string() if as_text else pa.binary()
+            schema = pa.schema([b.schema.field("carried"), ("n_bytes", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", kind)])
+            for lo, hi, buf, off in chunks(text):
+                starts, ends, kept = [], [], []
+                for i in range(lo, hi):
+                    own = buf[off[i - lo] : off[i - lo + 1]]
+                    turn = np.empty(0, np.int64)
+                    if start[i].is_valid:
+                        edge = np.bincount(start[i].values.to_numpy(), minlength=len(own) + 1) - np.bincount(end[i].values.to_numpy(), minlength=len(own) + 1)
+                        gone = np.cumsum(edge[:-1]) > 0
+                        turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+                        own = own[~gone]
+                    starts.append(turn[::2])
+                    ends.append(turn[1::2])
+                    kept.append(own.tobytes().decode(errors="ignore") if as_text else own.tobytes())
+                yield batch(schema, carried.slice(lo, hi - lo), np.diff(off), starts, ends, kept)
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = ID, text_col: str = TEXT, as_text: bool = False) -> DataFrame:
     """Every byte covered by a string of ``length`` bytes that starts at another place too,
-    in the same document or another one, is removed. Returns doc_id, n_bytes, starts and ends
-    (the removed runs, in bytes) and kept (the bytes that remain), a row per row of ``docs``.
+    in the same document or another one, is removed. Returns the columns of ``docs`` but the
+    text in a struct ``carried``, n_bytes, starts and ends (the removed runs, in bytes) and
+    kept (the bytes that remain; ``as_text``: as a string without characters cut in two), a
+    row per row of ``docs``.
 
     Overlaps count; all copies go, the first one too; matches never cross documents. A null
     text is empty, texts shorter than ``length`` stay, rows that repeat another whole row
@@ -146,26 +166,38 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = ID, text_co
     """
     if length < 64:
         raise ValueError("length must be 64 at least")
-    rows = keyed(docs, id_col, text_col)
-    parsed = rows.select(TEXT, ROW).mapInArrow(_parse(length), f"key bigint, whole bigint, {ROW} bigint, first int, n int")
+    others = F.struct(*(c for c in docs.columns if c != text_col))
+    rows = docs.select(others.alias("carried"), F.col(text_col).alias(TEXT), F.xxhash64(text_col, id_col).alias(ROW))
+    parsed = rows.select(TEXT, ROW).mapInArrow(_parse(length), f"key bigint, whole bigint, {ROW} bigint, first int, n int, more array<int>")
+    times = F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0)))
     group, kind = Window.partitionBy("key"), Window.partitionBy("key", "whole")
     met = (
-        parsed.withColumns({"size": F.count("*").over(group), "least": F.min("whole").over(group), "most": F.max("whole").over(group)})
+        parsed.withColumns({"size": times.over(group), "least": F.min("whole").over(group), "most": F.max("whole").over(group)})
         .filter("size > 1")
-        .withColumns({"equal": F.count("*").over(kind), "nth": F.row_number().over(kind.orderBy(ROW, "first"))})
-        .select("key", ROW, "first", "n", (F.col("equal") > 1).alias("repeated"), ((F.col("least") != F.col("most")) & (F.col("nth") == 1)).alias("speaks"))
+        .withColumns({"equal": times.over(kind), "nth": F.row_number().over(kind.orderBy(ROW, "first"))})
+        .select("key", ROW, "first", "n", "more", (F.col("equal") > 1).alias("repeated"), ((F.col("least") != F.col("most")) & (F.col("nth") == 1)).alias("speaks"))
         .filter("repeated or speaks")
     )
     met = cut(met, "phrases")
     # One exchange of the texts serves both joins.
     speaking = met.filter("speaks").groupBy(ROW).agg(*(F.collect_list(c).alias(c) for c in ("first", "n", "key")))
     strings = (
-        rows.join(speaking, ROW).select(ID, TEXT, ROW, "first", "n", "key")
+        rows.join(speaking, ROW).select("carried", TEXT, ROW, "first", "n", "key")
         .mapInArrow(_strings(length), f"key bigint, string bigint, {ROW} bigint, first int")
         .withColumn("equal", F.count("*").over(Window.partitionBy("key", "string")))
         .filter("equal > 1").select(ROW, F.col("first").alias("start"), (F.col("first") + length).alias("end"))
     )
-    covered = met.filter("repeated").select(ROW, F.col("first").alias("start"), (F.col("first") + F.col("n") + (length - 1)).alias("end"))
+    repeated = met.filter("repeated")
+    repeated = repeated.select(ROW, "first", "n").unionAll(repeated.select(ROW, F.explode("more").alias("first"), "n"))
+    covered = repeated.select(ROW, F.col("first").alias("start"), (F.col("first") + F.col("n") + (length - 1)).alias("end"))
     spans = covered.unionAll(strings).groupBy(ROW).agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    joined = rows.join(spans, ROW, "left").select(ID, TEXT, "start", "end")
-    return joined.mapInArrow(_remove, f"{ID} bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
+    joined = rows.join(spans, ROW, "left").select("carried", TEXT, "start", "end")
+    kind = "string" if as_text else "binary"
+    return joined.mapInArrow(_remove(as_text), f"carried {rows.schema['carried'].dataType.simpleString()}, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept {kind}")
+
+
+def cleaned(docs: DataFrame, length: int = 200, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """``docs`` with all their columns and rows, texts without repeated strings; a text that is
+    one repeat, and a null text, is empty then."""
+    out = remove_repeats(docs, length, id_col, text_col, as_text=True)
+    return out.select(*(F.col("kept").alias(c) if c == text_col else F.col("carried")[c].alias(c) for c in docs.columns))
