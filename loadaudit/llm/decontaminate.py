@@ -162,3 +162,23 @@ def search(docs: DataFrame, items: DataFrame, n: int = 5, over: int = 4, under:
     for f in found:
         out = out.unionAll(f) if len(found) > 1 else f
     return out
+
+
+def clean(docs: DataFrame, items: DataFrame, n: int = 5, over: int = 4, under: int = 5, recall: float = 0.9995, text_col: str = TEXT) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no item in the sense of ``search``; each
+    block of items is one more pass in the same task."""
+    out = docs
+    for block in _blocks(items.select("item_id", "text"), n):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, over, under, recall))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            for b in batches:
+                for lo, hi, buf, off in chunks(b.column(b.schema.get_field_index(text_col))):
+                    _, _, grams, to = words.of_texts(buf, off, n)
+                    stays = np.ones(hi - lo, bool)
+                    stays[[h[0] for h in index.hits(grams, to)]] = False
+                    yield b.slice(lo, hi - lo).filter(pa.array(stays))
+
+        out = out.mapInArrow(run, out.schema)
+    return out

@@ -143,7 +143,8 @@ def _verify(over: int, under: int):
 
 
 def join(docs: DataFrame, n: int = 5, over: int = 4, under: int = 5, recall: float = 0.9995, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """A row per row of ``docs``: doc_id, row hash, class_id, n_links.
+    """A row per row of ``docs``: doc_id, row hash, class_id, n_links, class (a hash that tells
+    classes apart where ids repeat).
 
     Two documents are linked if the Jaccard similarity of their sets of ``n``-word shingles
     is at least ``over / under``; a pair of just that similarity becomes a candidate with
@@ -163,7 +164,7 @@ def join(docs: DataFrame, n: int = 5, over: int = 4, under: int = 5, recall: flo
     nodes = cut(
         signed.filter("n_grams > 0").groupBy("w1", "w2")
         .agg(F.min_by(F.struct(ID, ROW), F.struct(ID, ROW)).alias("one"), F.min(ID).alias("least"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
-        .select("w1", "w2", F.col(f"one.{ID}"), F.col(f"one.{ROW}"), F.coalesce("least", "w1").alias("node"), "copies", "bands"),
+        .select("w1", "w2", F.col(f"one.{ID}"), F.col(f"one.{ROW}"), F.col("w1").alias("node"), "least", "copies", "bands"),
         "nodes",
     )
     each = nodes.select("node", F.posexplode("bands").alias("band", "value"))
@@ -187,19 +188,21 @@ def join(docs: DataFrame, n: int = 5, over: int = 4, under: int = 5, recall: flo
     links = cut(units.mapInArrow(_verify(over, under), "node bigint, other bigint, links bigint"), "links")
     classes = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    of_node = nodes.select("w1", "w2", "node", "least", "copies").join(classes, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    named = of_node.groupBy("class").agg(F.coalesce(F.min("least"), F.col("class")).alias("class_id"))
     by_node = (
-        nodes.select("w1", "w2", "node", "copies").join(classes, "node", "left").join(counted, "node", "left")
-        .select("w1", "w2", F.coalesce("root", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        of_node.join(counted, "node", "left").join(named, "class")
+        .select("w1", "w2", "class", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
     return (
         signed.withColumns({"w1": F.when(F.col("n_grams") > 0, F.col("w1")), "w2": F.when(F.col("n_grams") > 0, F.col("w2"))})
         .join(by_node, ["w1", "w2"], "left")
-        .select(ID, ROW, F.coalesce("class_id", ID, ROW).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select(ID, ROW, F.coalesce("class_id", ID, ROW).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class", ROW).alias("class"))
     )
 
 
 def representatives(joined: DataFrame) -> DataFrame:
     """The rows of ``join`` that stay when one document of each class does: that of its least
     id (by the least row hash if rows share it, or if no row has one)."""
-    first = joined.groupBy("class_id").agg(F.min(F.struct(F.coalesce(ID, F.lit((1 << 63) - 1)), ID, ROW)).alias("one"))
+    first = joined.groupBy("class").agg(F.min(F.struct(F.coalesce(ID, F.lit((1 << 63) - 1)), ID, ROW)).alias("one"))
     return first.select(F.col(f"one.{ID}").alias(ID), F.col(f"one.{ROW}").alias(ROW))

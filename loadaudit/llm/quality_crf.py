@@ -132,7 +132,7 @@ class Field:
 
 def fit(chains: list[tuple[np.ndarray, int]]) -> Field:
     """Gradient ascent (Adam) on the likelihood of the chains' labels."""
-    width = chains[0][0].shape[1] if chains else 1
+    width = line_features(np.empty(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]
     parts = [(x[k : k + TRAIN_LINES], y) for x, y in chains for k in range(0, len(x), TRAIN_LINES)] or [(np.zeros((1, width), np.float32), 1)]
     at = np.concatenate([[0], np.cumsum([len(x) for x, _ in parts])])
     label = np.repeat([y for _, y in parts], np.diff(at))
