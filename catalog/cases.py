@@ -183,7 +183,7 @@ SELECT s.case_id, s.evidence_id, f.other, f.km, f.minutes, CASE WHEN f.other IS
 @query("chk_r6", """
 SELECT case_id, evidence_id, status, CASE WHEN status = 'PASS' THEN evidence_id || '.json does not clash with the truck''s other traces.'
   ELSE evidence_id || '.json and ' || other || '.json put the same truck ' || printf('%.1f', km) || ' km apart with only ' || round_even(greatest(minutes, 0), 0)::BIGINT
-   || ' minutes between them (limit 40 km/h).' END AS message FROM c_r6""")
+   || ' minutes between them (limit 1 km/h).' END AS message FROM c_r6""")
 def chk_r6(spark, d):
     fx = Fixture(spark, d)
     return shown(case.chk_r6(traced(fx), fx.case_rows, LIMITS))

@@ -84,10 +84,10 @@ SELECT s.*, d.decision, CASE decision WHEN 'APPROVE' THEN ver + rev + held ELSE
   CASE decision WHEN 'APPROVE' THEN 0 WHEN 'HOLD' THEN rev + held ELSE held END AS held2
 FROM v_ssplit s JOIN v_sdrain d USING (bill_id, drain_id)""")
 view("v_ssummary", """
-SELECT bill_id, rate, sum(claimed) AS c, sum(ver2) AS v, sum(rev2) AS r, sum(held2) AS h, count(*) AS drain_count,
+SELECT bill_id, rate, coalesce(sum(claimed), 0) AS c, coalesce(sum(ver2), 0) AS v, coalesce(sum(rev2), 0) AS r, coalesce(sum(held2), 0) AS h, count(drain_id) AS drain_count,
   count(*) FILTER (WHERE colour = 'RED') AS red, count(*) FILTER (WHERE colour = 'AMBER') AS amber,
   count(*) FILTER (WHERE colour = 'GREEN') AS green, count(decision) AS decided
-FROM v_sdecided JOIN v_bill USING (bill_id) GROUP BY ALL""")
+FROM v_bill LEFT JOIN v_sdecided USING (bill_id) GROUP BY ALL""")
 
 
 @query("bill_ledger", """
@@ -192,9 +192,10 @@ def agg_03(spark, d):
 
 
 @query("agg_04_bill_summary", """
-SELECT bill_id, (CASE WHEN status = 'VERIFIED' THEN 5000.5 ELSE c END)::DOUBLE AS claimed_tonnes,
-  round_even((CASE WHEN status = 'VERIFIED' THEN 5000.5 ELSE c END) * s.rate, 0)::BIGINT AS claimed_rupees,
-  h::DOUBLE AS held_tonnes, (h * s.rate)::BIGINT AS held_rupees, red, amber, green, decided FROM v_ssummary s JOIN v_bill b USING (bill_id)""")
+SELECT b.bill_id, (CASE WHEN status = 'VERIFIED' THEN 5000.5 ELSE coalesce(c, 0) END)::DOUBLE AS claimed_tonnes,
+  round_even((CASE WHEN status = 'VERIFIED' THEN 5000.5 ELSE coalesce(c, 0) END) * b.rate, 0)::BIGINT AS claimed_rupees,
+  coalesce(h, 0)::DOUBLE AS held_tonnes, (coalesce(h, 0) * b.rate)::BIGINT AS held_rupees, coalesce(red, 0) AS red, coalesce(amber, 0) AS amber,
+  coalesce(green, 0) AS green, coalesce(decided, 0) AS decided FROM v_bill b LEFT JOIN v_ssummary s USING (bill_id)""")
 def agg_04(spark, d):
     """Verified bills carry their own claim, which replaces the sum."""
     fx = Fixture(spark, d)
@@ -204,8 +205,8 @@ def agg_04(spark, d):
 
 
 @query("agg_12_ledger_shares", """
-SELECT bill_id, round(v * 100.0::DOUBLE / c::DOUBLE, 6) AS verified_pct, round(r * 100.0::DOUBLE / c::DOUBLE, 6) AS review_pct,
-  round(h * 100.0::DOUBLE / c::DOUBLE, 6) AS held_pct FROM v_ssummary""")
+SELECT bill_id, coalesce(round(v * 100.0::DOUBLE / c::DOUBLE, 6), 0) AS verified_pct, coalesce(round(r * 100.0::DOUBLE / c::DOUBLE, 6), 0) AS review_pct,
+  coalesce(round(h * 100.0::DOUBLE / c::DOUBLE, 6), 0) AS held_pct FROM v_bill LEFT JOIN v_ssummary USING (bill_id)""")
 def agg_12(spark, d):
     fx = Fixture(spark, d)
     out = rollup.ledger_shares(rollup.bill_summary(ledger_drains(fx), fx.bills))

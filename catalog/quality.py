@@ -196,12 +196,13 @@ def win_08(spark, d):
     return casefacts.focus_trip(casefacts.judged(audit(Fixture(spark, d))))
 
 
-def facts_of(fx):
+def facts_of(fx, every=False):
+    """``every``: drains without trips too."""
     a = audit(fx)
     trips = stage(casefacts.judged(a), "judged-trips")
     lengths = traces.trace_quality(fx.points, block=512).select("bill_id", "trace_key", "distance_m")
     sites = bill.bill_sites(fx.bills, fx.sites)
-    return a, casefacts.case_facts(trips, a.drain_findings, sites, tables.claimed_route(fx.case), lengths)
+    return a, casefacts.case_facts(trips, a.drain_findings, sites, tables.claimed_route(fx.case), lengths, fx.case.drains if every else None)
 
 
 @query("agg_08_case_facts", f"""
@@ -209,9 +210,13 @@ SELECT f.bill_id, f.drain_id, f.trip_id, NOT f.r5 AS reached_dump, n AS trips, h
  CASE WHEN f.r5 AND f.bill_id <> '24' THEN round({sqlviews.haversine("lon1", "lat1", "72.85::DOUBLE", "19.005::DOUBLE")}, 1) END AS short_of_dump_m,
  CASE WHEN ',' || f.hard || ',' || f.soft || ',' LIKE '%,R8,%' THEN 'timeIn' WHEN ',' || f.hard || ',' || f.soft || ',' LIKE '%,R7,%' THEN 'net' WHEN ',' || f.hard || ',' || f.soft || ',' LIKE '%,R9,%' THEN 'vehicleNo' END AS conflicting_field
 FROM f_focus f JOIN (SELECT bill_id, drain_id, count(*) AS n, count(*) FILTER (WHERE verdict = 'HOLD') AS h, count(*) FILTER (WHERE verdict = 'REVIEW') AS r FROM f_trip GROUP BY ALL) USING (bill_id, drain_id)
+LEFT JOIN (SELECT bill_id, drain_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS hard_rules FROM f_rows WHERE sev = 'hard' GROUP BY ALL) USING (bill_id, drain_id)
+UNION ALL BY NAME
+SELECT w.bill_id, w.drain_id, NULL::VARCHAR AS trip_id, true AS reached_dump, 0::BIGINT AS trips, 0::BIGINT AS hold_trips, 0::BIGINT AS review_trips, hard_rules, NULL::DOUBLE AS short_of_dump_m, NULL::VARCHAR AS conflicting_field
+FROM (SELECT bill_id, drain_id FROM v_wdrain ANTI JOIN f_trip USING (bill_id, drain_id)) w
 LEFT JOIN (SELECT bill_id, drain_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS hard_rules FROM f_rows WHERE sev = 'hard' GROUP BY ALL) USING (bill_id, drain_id)""")
 def agg_08(spark, d):
-    _, facts = facts_of(Fixture(spark, d))
+    _, facts = facts_of(Fixture(spark, d), every=True)
     return facts.select(
         *KEYS, "trip_id", "reached_dump", "trips", "hold_trips", "review_trips", F.nullif(F.array_join("hard_rules", ","), F.lit("")).alias("hard_rules"),
         F.when(~F.col("all_stop_together"), F.round("short_of_dump_m", 1)).alias("short_of_dump_m"), "conflicting_field",
@@ -483,5 +488,5 @@ def str_06(spark, d):
         tables.write_verdicts(bill.evaluate(cut, FIXTURE_LIMITS), path)
 
     streams.stream_verify(changes, lambda session: fx.case, write, f"{path}-checkpoint", once=True).awaitTermination()
-    out = spark.read.parquet(f"{path}/drains")
+    out = tables.read_verdicts(spark, path, "drains")
     return out.groupBy(F.col("bill_id").cast("string").alias("bill_id")).agg(F.count(F.lit(1)).alias("drains"), F.sum("trip_count").alias("trips"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loadaudit.functions import geo, money
 from loadaudit.plans import bill
 from loadaudit.plans.fixturemap import FIXTURE_LIMITS, Fixture
-from loadaudit.plans.staging import shared_folder, spread
+from loadaudit.plans.staging import shared_folder
 from loadaudit.sources import features, files, manifests, readings, tables, traces
 
 from . import sqlviews
@@ -272,7 +272,7 @@ def ing_07(spark, d):
         F.lit(" Image/JPG ").alias("content_type"),
         F.when(n % 10 == 0, F.lit("1.5")).when(n % 10 == 1, F.lit("0")).otherwise((n * 2000).cast("string")).alias("size"),
         F.when(k % 7 == 0, F.lit("hero")).when(k % 7 == 1, F.lit("after")).alias("role"),
-        F.substring("text", 1, 40).alias("filename"),
+        F.concat_ws("-", "source", "doc_id").alias("filename"),
     )
     return manifests.validate_uploads(rows).select("doc_id", "code")
 
@@ -383,7 +383,7 @@ def ocr_texts(fx):
         block("TIME_IN", (F.lit("9:42"), vague)), block("TIME_OUT", (F.lit("unclear"), sure)), block("SITE"),
     ]
     content = F.concat(F.lit('{"Blocks":['), F.concat_ws(",", *blocks), F.lit("]}"))
-    return spread(fx.table("orders"), "o_orderkey").select(doc.alias("doc"), content.alias("content"))
+    return fx.table("orders").select(doc.alias("doc"), content.alias("content"))
 
 
 @query("src_10_ocr_answers", """
@@ -437,7 +437,7 @@ def vision_texts(fx):
 @query("src_12_vision_verdicts", """
 SELECT doc_id AS doc, k IN (0, 3) AS cleared, CASE k WHEN 0 THEN 'silt' WHEN 1 THEN 'debris' WHEN 2 THEN 'debris' ELSE 'unclear' END AS load_type,
  printf('%.3f', CASE WHEN k = 0 THEN CASE WHEN n_chars % 100 > 1 THEN (n_chars % 100) / 100.0::DOUBLE ELSE n_chars % 100 END WHEN k < 3 THEN (n_chars % 9 + 1) / 10.0::DOUBLE WHEN k = 3 THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END::DOUBLE)::DOUBLE AS confidence,
- CASE k WHEN 0 THEN md5(substr(regexp_replace(text, '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', '', 'g'), 1, 500)) WHEN 3 THEN md5('["a","b"]') WHEN 4 THEN md5('I cannot help.') ELSE md5('x') END AS notes,
+ CASE k WHEN 0 THEN md5(substr(regexp_replace(text, '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', '', 'g'), 1, 500)) WHEN 3 THEN md5('["a", "b"]') WHEN 4 THEN md5('I cannot help.') ELSE md5('x') END AS notes,
  k < 3 AS ok, CASE WHEN k IN (0, 3) THEN 'tool_use' WHEN k = 4 THEN 'none' ELSE 'text_json' END AS source,
  CASE k WHEN 3 THEN 'load_type_out_of_enum,confidence_not_a_number,notes_not_a_string' WHEN 4 THEN 'no_structured_output' ELSE '' END AS problems
 FROM (SELECT *, doc_id % 5 AS k FROM documents)""")
@@ -576,7 +576,7 @@ def snk_01(spark, d):
     path = _fresh(spark, "verdicts")
     tables.write_verdicts(audit, path)
     tables.write_verdicts(audit, path)
-    out = spark.read.parquet(f"{path}/drains").groupBy("bill_id").agg(F.count(F.lit(1)).alias("drains"), F.sum("trip_count").alias("trips"))
+    out = tables.read_verdicts(spark, path, "drains").groupBy("bill_id").agg(F.count(F.lit(1)).alias("drains"), F.sum("trip_count").alias("trips"))
     return out.withColumn("bill_id", F.col("bill_id").cast("string"))
 
 

@@ -18,9 +18,24 @@ _CAMERA_DASHES = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"
 _ISO = r"^\d{4}-\d\d-\d\d(.\d\d:\d\d(:\d\d([.,]\d+)?)?(Z|[+-]\d\d(:?\d\d)?)?)?$"
 
 
+def _extended(c: Column) -> Column:
+    """Compact and hour-only ISO forms with their dashes and colons written out."""
+    dashed = F.regexp_replace(c, r"^(\d{4})(\d\d)(\d\d)(?![\d-])", "$1-$2-$3")
+    day = r"^(\d{4}-\d\d-\d\d.)(\d\d)"
+    seconds = F.regexp_replace(dashed, day + r"(\d\d)(\d\d)(?!\d)", "$1$2:$3:$4")
+    minutes = F.regexp_replace(seconds, day + r"(\d\d)(?![\d:])", "$1$2:$3")
+    return F.regexp_replace(minutes, day + r"(?=$|[Z+-])", "$1$2:00")
+
+
 def iso_parts(c: Column) -> Column:
     """ISO 8601 text to ``struct<wall_us,offset_min,epoch_us>``; null when unreadable.
-    A text without an offset has a null ``offset_min`` and reads as UTC."""
+    Date and time may be compact (``20261009T070000``) and the time may end with its hour.
+    A text without an offset has a null ``offset_min`` and reads as UTC; an offset of a day
+    or more is unreadable."""
+    return let(_extended(c), _iso_parts)
+
+
+def _iso_parts(c: Column) -> Column:
     has_seconds = F.substring(c, 17, 1) == ":"
 
     def number(start, default=0):
@@ -33,8 +48,8 @@ def iso_parts(c: Column) -> Column:
             + (v["hour"] * 3600 + v["minute"] * 60 + v["second"]).cast("bigint") * 1_000_000
             + F.coalesce(fraction, F.lit(0)).cast("bigint")
         )
-        readable = v["day"].isNotNull() & (v["hour"] <= 23) & (v["minute"] <= 59) & (v["second"] <= 59)
         zone = F.regexp_extract(v["tail"], r"(Z|[+-]\d\d(?::?\d\d)?)$", 1)
+        readable = v["day"].isNotNull() & (v["hour"] <= 23) & (v["minute"] <= 59) & (v["second"] <= 59) & F.coalesce(F.abs(_offset(zone)) < 1440, F.lit(True))
         return F.when(readable, let_all(lambda t: _time(t["wall"], t["offset"]), wall=wall, offset=_offset(zone)))
 
     fields = let_all(
@@ -146,7 +161,8 @@ def minutes_apart(hhmm: Column, arrival_wall_us: Column) -> Column:
     return let_all(
         placed,
         hour=F.substring_index(hhmm, ":", 1).try_cast("int"),
-        minute=F.when(hhmm.contains(":"), F.substring_index(hhmm, ":", -1).try_cast("int")),
+        # All that follows the first colon: a text with seconds is no reading.
+        minute=F.regexp_extract(hhmm, "^[^:]*:(.*)$", 1).try_cast("int"),
         wall=arrival_wall_us,
     )
 
@@ -157,7 +173,8 @@ def hhmm(c: Column) -> Column:
 
 
 def minute_of_day(c: Column) -> Column:
-    return F.substring_index(c, ":", 1).try_cast("int") * 60 + F.substring_index(c, ":", -1).try_cast("int")
+    fields = F.split(c, ":")
+    return F.get(fields, F.lit(0)).try_cast("int") * 60 + F.get(fields, F.lit(1)).try_cast("int")
 
 
 def exif_time(c: Column, offset: Column) -> Column:

@@ -14,8 +14,12 @@ MISREAD_FROM = "OolIL|S"
 MISREAD_TO = "0011115"
 
 
+#: White space of any script, and the four separators of ASCII.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def fix_digits(c: Column) -> Column:
@@ -43,7 +47,7 @@ def parse_weight_t(c: Column) -> Column:
     return let(F.lower(strip(c)), from_text)
 
 
-_CLOCK = r"([0-9]{1,2})\s*[:.\-h]\s*([0-9]{2})"
+_CLOCK = rf"([0-9]{{1,2}}){SPACE}*[:.\-h]{SPACE}*([0-9]{{2}})"
 
 
 def parse_hhmm(c: Column) -> Column:
@@ -79,7 +83,7 @@ def parse_plate(c: Column) -> Column:
     """Printed plate in capitals, digits corrected only in its second and fourth group."""
 
     def from_text(text):
-        spaced = strip(F.regexp_replace(F.regexp_replace(text, "[^A-Z0-9 ]", " "), r"\s+", " "))
+        spaced = strip(F.regexp_replace(F.regexp_replace(text, "[^A-Z0-9 ]", " "), f"{SPACE}+", " "))
         groups = F.transform(
             F.split(spaced, " "), lambda part, i: F.when(i.isin(1, 3), fix_digits(part)).otherwise(part)
         )
@@ -91,7 +95,7 @@ def parse_plate(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     return let(
-        strip(F.regexp_replace(c, r"\s+", " ")), lambda text: F.when(~_unanswered(F.lower(text)), text)
+        strip(F.regexp_replace(c, f"{SPACE}+", " ")), lambda text: F.when(~_unanswered(F.lower(text)), text)
     )
 
 
@@ -99,7 +103,7 @@ def clean_text_max(c: Column, max_len: int) -> Column:
     """``struct<value,error>``: control characters become spaces; too long is an error."""
     spaced = strip(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "))
     return let(
-        F.regexp_replace(spaced, r"\s+", " "),
+        F.regexp_replace(spaced, f"{SPACE}+", " "),
         lambda text: F.struct(
             F.when(F.length(text) <= max_len, F.nullif(text, F.lit(""))).alias("value"),
             F.when(F.length(text) > max_len, F.lit(f"must be {max_len} characters or fewer")).alias("error"),
@@ -115,6 +119,20 @@ def basename(key: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(key, r"([^/]*)$", 1), F.lit("")), F.lit("photo"))
 
 
+def spaced_json(c: Column) -> Column:
+    """Compact JSON with a space behind every comma and colon outside of texts, and with
+    characters beyond ASCII escaped."""
+
+    def escaped(ch):
+        code = F.ascii(ch)
+        unit = lambda x: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(x), 4, "0")))
+        high, low = 0xD7C0 + F.shiftright(code, 10), 0xDC00 + code % 1024
+        return F.when(code < 128, ch).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+    spaced = F.regexp_replace(c, r'([,:])(?=(?:[^"\\]|"(?:[^"\\]|\\.)*")*$)', "$1 ")
+    return F.array_join(F.transform(F.split(spaced, ""), escaped), "")
+
+
 # ---- number text, as messages print it
 def fixed0(x: Column) -> Column:
     """No decimals, halves to even."""

@@ -45,9 +45,11 @@ def judged(audit) -> DataFrame:
     return shown.join(audit.trips, [*KEYS, "trip_id"])
 
 
-def case_facts(trips: DataFrame, drain_findings: DataFrame, sites: DataFrame, routes: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row per drain with trips. ``trips`` is ``judged``; ``sites`` gives a bill's
-    ``center``, ``routes`` a drain's ``claimed_route``, ``lengths`` a trace's distance_m."""
+def case_facts(trips: DataFrame, drain_findings: DataFrame, sites: DataFrame, routes: DataFrame, lengths: DataFrame,
+               drains: DataFrame | None = None) -> DataFrame:
+    """One row per drain with trips, and per other drain of ``drains`` if that is given.
+    ``trips`` is ``judged``; ``sites`` gives a bill's ``center``, ``routes`` a drain's
+    ``claimed_route``, ``lengths`` a trace's distance_m."""
     focus = focus_trip(trips).join(trips, [*KEYS, "trip_id"])
     focus = focus.join(lengths.select("bill_id", "trace_key", "distance_m"), ["bill_id", "trace_key"], "left")
     aim = focus.select(*KEYS, F.col("end").alias("_aim"))
@@ -93,7 +95,7 @@ def case_facts(trips: DataFrame, drain_findings: DataFrame, sites: DataFrame, ro
         F.when(F.col("entered"), F.lit("arrival")).otherwise(F.lit("lastFix")).alias("kind"),
         F.floor(F.abs(round_half_even(-F.col("delta_min"), 1))).cast("int").alias("minutes"),
     )
-    return joined.select(
+    facts = joined.select(
         *KEYS, "trip_id", "trip_no", "vehicle_no", reached.alias("reached_dump"), together.alias("all_stop_together"), stop.alias("stop"),
         F.when(~reached, geo.metres_between(stop, F.col("center"))).alias("short_of_dump_m"),
         (geo.line_length_m(F.col("claimed_route")) / 1000).alias("claimed_km"),
@@ -109,6 +111,23 @@ def case_facts(trips: DataFrame, drain_findings: DataFrame, sites: DataFrame, ro
         (F.coalesce("_r3", F.lit(0)) > 0).alias("has_r3"), "r3_owner",
         *[c for c in ("start_time", "arrival_time") if c in trips.columns],
     )
+    if drains is None:
+        return facts
+    found = drain_findings.groupBy(*KEYS).agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("severity") == s, F.col("rule")))).alias(f"_{s}") for s in (wording.HARD, wording.SOFT)]
+    )
+    bare = drains.select(*KEYS).distinct().join(trips.select(*KEYS).distinct(), KEYS, "left_anti")
+    bare = bare.join(found, KEYS, "left").join(r3, KEYS, "left").join(routes, KEYS, "left")
+    hard, soft = (F.coalesce(F.col(f"_{s}"), F.array().cast("array<string>")) for s in (wording.HARD, wording.SOFT))
+    every = F.array_union(hard, soft)
+    return facts.unionByName(bare.select(
+        *KEYS, F.lit(True).alias("reached_dump"), F.lit(False).alias("all_stop_together"), F.lit(False).alias("has_r6"),
+        (geo.line_length_m(F.col("claimed_route")) / 1000).alias("claimed_km"),
+        *[F.lit(0).cast("bigint").alias(c) for c in ("trips", "hold_trips", "review_trips")],
+        hard.alias("hard_rules"), soft.alias("soft_rules"),
+        *[family(every, names).alias(c) for c, names in (("route_rules", wording.ROUTE_RULES), ("slip_rules", wording.SLIP_RULES), ("photo_rules", wording.PHOTO_RULES))],
+        (F.coalesce("_r3", F.lit(0)) > 0).alias("has_r3"), "r3_owner",
+    ), allowMissingColumns=True)
 
 
 def _rule_flags() -> list[Column]:
@@ -131,6 +150,7 @@ TITLES = {
     "dark": "The GPS trace goes dark on the way",
     "no_trace": "A trip has no GPS trace",
     "reached": "Every trace reaches the dump site",
+    "haul": "The haul to the dump site",
     "before_left": "The slip is stamped before the truck left",
     "slip_time": "The slip time does not match the GPS",
     "slip_net": "The slip claims more than the truck carries",
@@ -170,6 +190,7 @@ def case_titles(facts: DataFrame, colours: DataFrame) -> DataFrame:
         .when(has("route_rules", "R6"), title("two_places"))
         .when(has("route_rules", "GPS_GAP"), title("dark"))
         .when(has("route_rules", "TRACE_MISSING"), title("no_trace"))
+        .when(F.col("_colour").isNull(), title("haul"))
         .otherwise(title("reached"))
     )
     early = clock.minute_of_day(F.col("r8.time_in")) < clock.minute_of_day(F.col("r8.departure"))
@@ -201,8 +222,8 @@ def case_titles(facts: DataFrame, colours: DataFrame) -> DataFrame:
     )
     line = (
         F.when(F.col("_colour") == wording.GREEN, title("clean"))
-        .when((held == n) & (k == F.col("hard_max")), title("all_held", word, F.when(k == 1, F.lit("check")).otherwise(F.lit("checks"))))
-        .when(held == n, title("held"))
+        .when((n > 0) & (held == n) & (k == F.col("hard_max")), title("all_held", word, F.when(k == 1, F.lit("check")).otherwise(F.lit("checks"))))
+        .when((n > 0) & (held == n), title("held"))
         .when(F.size(parts) > 0, F.concat(F.array_join(parts, ", "), F.lit(".")))
         .otherwise(title("drain_level"))
     )

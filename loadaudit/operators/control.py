@@ -175,13 +175,17 @@ def _legal(start: Column, target: Column, grp: Column) -> Column:
     return listed & F.when(direct, ~target.isin("QUEUED", "PROCESSING", "FAILED")).otherwise(~early)
 
 
+#: Buckets of an item that are folded together; the blocks are folded in turn.
+FOLD_BLOCK = 256
+
+
 def evidence_state(log: DataFrame, order: str, bucket: Column) -> tuple[DataFrame, DataFrame]:
     """(latest legal state per item, illegal moves) of a log of item_id, grp, state.
 
     An item begins UPLOADING. An illegal move is listed and leaves the state alone.
     Each bucket of an item's log is folded to a map from any state to the state after
-    it; the maps of an item are then folded in order. So a long log is spread over its
-    buckets and no item is replayed as a whole."""
+    it; the maps of an item are then folded in order, block by block, each once. So a long
+    log is spread over its buckets and no item is replayed as a whole."""
     rows = log.select("item_id", "grp", F.col(order).alias("_o"), F.col("state").alias("_to"), bucket.alias("_bucket"))
     moves = F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("_to").alias("to"))))
     chunks = rows.groupBy("item_id", "grp", "_bucket").agg(moves.alias("_moves"))
@@ -194,18 +198,33 @@ def evidence_state(log: DataFrame, order: str, bucket: Column) -> tuple[DataFram
     # One short map per bucket: the only thing gathered per item.
     paths = mapped.groupBy("item_id", "grp").agg(F.array_sort(F.collect_list(F.struct(F.col("_bucket").alias("b"), F.map_entries("_table").alias("t")))).alias("_path"))
 
-    def run(steps):
-        return F.aggregate(steps, F.lit("UPLOADING"), lambda s, x: F.coalesce(F.try_element_at(F.map_from_entries(x["t"]), s), s))
+    def after_step(s, x):
+        return F.coalesce(F.try_element_at(F.map_from_entries(x["t"]), s), s)
+
+    def run(steps, start):
+        return F.aggregate(steps, start, after_step)
 
-    latest = paths.select("item_id", "grp", run(F.col("_path")).alias("state"))
-    starts = paths.select(
+    def listed(steps, start, kind, item, after):
+        """The items made of each step and the state before it."""
+        begin = F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(
+            steps, begin, lambda acc, x: F.struct(after(acc["s"], x).alias("s"), F.concat(acc["out"], F.array(item(acc["s"], x))).alias("out")), lambda acc: acc["out"]
+        )
+
+    latest = paths.select("item_id", "grp", run(F.col("_path"), F.lit("UPLOADING")).alias("state"))
+    path_type = paths.schema["_path"].dataType.simpleString()
+    bucket_type = paths.schema["_path"].dataType.elementType["b"].dataType.simpleString()
+    firsts = F.sequence(F.lit(1), F.size("_path"), F.lit(FOLD_BLOCK))
+    blocks = paths.withColumn("_blocks", F.transform(firsts, lambda i: F.slice("_path", i, FOLD_BLOCK)))
+    entered = listed(
+        F.col("_blocks"), F.lit("UPLOADING"), f"struct<s:string,steps:{path_type}>", lambda s, block: F.struct(s.alias("s"), block.alias("steps")), lambda s, block: run(block, s)
+    )
+    entered = blocks.select("item_id", "grp", F.explode(entered).alias("_e"))
+    starts = entered.select(
         "item_id", "grp",
-        F.explode(
-            F.transform(
-                "_path",
-                lambda x, i: F.struct(x["b"].alias("_bucket"), run(F.slice("_path", F.lit(1), i)).alias("_start")),
-            )
-        ).alias("_s"),
+        F.explode(listed(
+            F.col("_e.steps"), F.col("_e.s"), f"struct<_bucket:{bucket_type},_start:string>", lambda s, x: F.struct(x["b"].alias("_bucket"), s.alias("_start")), after_step
+        )).alias("_s"),
     ).select("item_id", "grp", "_s.*")
     opened = chunks.join(starts, ["item_id", "grp", "_bucket"])
     begin = F.struct(F.col("_start").alias("s"), F.array().cast("array<struct<o:bigint,from:string,to:string>>").alias("bad"))

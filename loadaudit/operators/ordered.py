@@ -13,10 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_buckets(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with a column ``name``, an order bucket for orders without a natural unit, such
+    as names: ranges of (keys, order) that Spark measures, so a hot key is cut wherever its
+    values lie. Written once, so that every use sees the same ranges."""
+    from ..plans.staging import stage
+
+    return stage(df.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def neighbours(df: DataFrame, keys: list[str], order: list[str], bucket: Column, carry: list[str]) -> DataFrame:
     """Adds ``prev`` and ``next`` structs of the ``carry`` columns, ordered within
     ``keys``. ``bucket`` must not decrease along ``order``. Null keys form a group."""
-    cut = df.withColumn("_bucket", bucket)
+    # Whatever dealt the rows before, a key's buckets go to different tasks.
+    cut = df.withColumn("_bucket", bucket).repartition(*keys, "_bucket")
     spot = F.struct(*order)
     row = F.struct(*carry)
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
@@ -50,7 +60,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, n
     """Adds the 1-based position of each row within ``keys``. Positions are counted per
     order bucket and shifted by the sizes of the earlier buckets, so a hot key is never
     sorted in one task. ``bucket`` must not decrease along ``order``."""
-    cut = df.withColumn("_bucket", bucket)
+    cut = df.withColumn("_bucket", bucket).repartition(*keys, "_bucket")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size")).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"), "_size"

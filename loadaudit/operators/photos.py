@@ -38,18 +38,29 @@ def choose_bands(max_bits: int, hashes_per_group: int) -> int:
     return min(range(2, 9), key=work)
 
 
+def measured_group(hashes: DataFrame, keys: list[str]) -> int:
+    """How many hashes a hash meets in its own group, on average: one aggregation of two
+    numbers."""
+    if not keys:
+        return hashes.count()
+    n = hashes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return int(n.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n"), F.lit(0.0))).first()[0])
+
+
 def near_hashes(hashes: DataFrame, keys: list[str], max_bits: int = MAX_BITS, bands: int | None = None,
-                hashes_per_group: int = 2_000) -> DataFrame:
-    """Candidate pairs ``(keys, hash, other)`` of distinct hashes within ``max_bits``,
-    each hash with itself included; a pair may appear more than once.
+                hashes_per_group: int | None = None) -> DataFrame:
+    """Pairs ``(keys, hash, other)`` of distinct hashes within ``max_bits``, each hash with
+    itself included; a pair comes from the first band where it meets. The number of bands
+    follows the measured size of the groups unless ``hashes_per_group`` gives it.
 
     Exact: of ``bands`` bands, some band differs in at most ``max_bits // bands``
     bits, so the two sides, each varied by half of that, share a band value. The
     join key is (keys, hash length, band, value), and every hash appears once
     however many photos carry it."""
-    bands = bands or choose_bands(max_bits, hashes_per_group)
-    radius = max_bits // bands
     base = hashes.select(*keys, "hash").where(hashing.is_hex(F.col("hash"))).distinct()
+    if not bands:
+        bands = choose_bands(max_bits, measured_group(base, keys) if hashes_per_group is None else hashes_per_group)
+    radius = max_bits // bands
     base = base.withColumn("_bits", hashing.hash_bits(F.col("hash"))).withColumn("_len", F.length("hash"))
 
     def probes(share: int):
@@ -71,13 +82,20 @@ def near_hashes(hashes: DataFrame, keys: list[str], max_bits: int = MAX_BITS, ba
     left = left.select(*keys, "_len", "hash", "_bits", "_probe.*")
     right = right.select(*keys, "_len", "other", "_other_bits", "_probe.*")
     # The 64-bit test discards nearly every candidate before the full comparison.
-    close = F.bit_count(F.col("_bits").bitwiseXOR(F.col("_other_bits"))) <= max_bits
+    apart = F.col("_bits").bitwiseXOR(F.col("_other_bits"))
+    close = (F.col("hash") != F.col("other")) & (F.bit_count(apart) <= max_bits)
+    widths = _widths(bands)
+    meets = [
+        F.when(F.bit_count(F.shiftrightunsigned(apart, sum(widths[:i])).bitwiseAND(F.lit((1 << w) - 1))) <= radius, i) for i, w in enumerate(widths)
+    ]
+    first = F.col("band") == F.coalesce(*meets)
     full = (F.col("_len") <= 16) | (hashing.hamming_hex(F.col("hash"), F.col("other")) <= max_bits)
-    return left.join(right, [*keys, "_len", "band", "value"]).where(close & full).select(*keys, "hash", "other")
+    others = left.join(right, [*keys, "_len", "band", "value"]).where(close & first & full).select(*keys, "hash", "other").distinct()
+    return others.unionAll(base.select(*keys, "hash", F.col("hash").alias("other")))
 
 
 def first_originals(photos: DataFrame, keys=("bill_id",), key_col: str = "s3_key", owner_col: str | None = "drain_id",
-                    max_bits: int = MAX_BITS, bands: int | None = None, hashes_per_group: int = 2_000) -> DataFrame:
+                    max_bits: int = MAX_BITS, bands: int | None = None, hashes_per_group: int | None = None) -> DataFrame:
     """``(keys, key_col, original, original_owner, distance)`` for every copy.
 
     Photos are ordered by their timestamp *text*, then key, a missing one first. A

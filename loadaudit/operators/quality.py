@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, hashing
 from ..plans.staging import stage
-from .ordered import neighbours
+from .ordered import neighbours, range_buckets
 from .photos import near_hashes
 
 # Slip fields whose misreading blocks, those that only warn, tolerances.
@@ -209,7 +209,7 @@ def at_point(coordinate: str, size: float):
     return F.floor(F.col(coordinate) / size)
 
 
-def field_report(photos: DataFrame, drains: DataFrame, by: tuple[str, ...] = (), band_m: float = 60.0, prefix: int = 6) -> tuple[DataFrame, DataFrame]:
+def field_report(photos: DataFrame, drains: DataFrame, by: tuple[str, ...] = (), band_m: float = 60.0) -> tuple[DataFrame, DataFrame]:
     """(a row per file, counts): no camera tags, no GPS, outside every fence with its
     distance, in the soft band, the previous file with the identical hash.
 
@@ -219,7 +219,8 @@ def field_report(photos: DataFrame, drains: DataFrame, by: tuple[str, ...] = (),
     base = photos.withColumn("_state", F.when(~tagged, F.lit("no_exif")).when(~F.coalesce("has_gps", F.lit(False)), F.lit("no_gps")).otherwise(F.lit("gps")))
     placed = base.where(F.col("_state") == "gps")
     where = locate(placed.withColumnRenamed("name", "point_id"), drains, tuple(by)).withColumnRenamed("point_id", "name")
-    twins = neighbours(placed.select(*by, "name", "p_hash"), [*by, "p_hash"], ["name"], F.substring("name", 1, prefix), ["name"]).select(
+    hashed = range_buckets(placed.select(*by, "name", "p_hash"), [*by, "p_hash"], ["name"], "_range")
+    twins = neighbours(hashed, [*by, "p_hash"], ["name"], F.col("_range"), ["name"]).select(
         *by, "name", F.col("prev.name").alias("identical_to")
     )
     rows = base.join(where, [*by, "name"], "left").join(twins, [*by, "name"], "left")

@@ -60,8 +60,9 @@ def drain_split(trips: DataFrame, keys=("bill_id", "drain_id")) -> DataFrame:
 
 
 def bill_summary(drains: DataFrame, bills: DataFrame, billed_claim: bool = True) -> DataFrame:
-    """Tonnes and rupees per bill and the count of drains by colour. With
-    ``billed_claim`` the claim stored on the bill replaces the sum of its drains."""
+    """Tonnes and rupees per bill and the count of drains by colour, zeros for a bill
+    without drains. With ``billed_claim`` the claim stored on the bill replaces the sum of
+    its drains."""
 
     def total(c):
         return F.coalesce(F.sum(c), F.lit(0)).cast(money.TONNES).alias(c)
@@ -76,7 +77,11 @@ def bill_summary(drains: DataFrame, bills: DataFrame, billed_claim: bool = True)
     header = bills.select(
         "bill_id", F.col("rate_per_tonne"), F.col("claimed_tonnes").cast(money.TONNES).alias("_billed")
     )
-    joined = sums.join(header, "bill_id")
+    joined = header.join(sums, "bill_id", "left")
+    counts = ("drain_count", RED.lower(), AMBER.lower(), GREEN.lower(), "decided")
+    joined = joined.withColumns({
+        **{c: F.coalesce(c, F.lit(0)).cast(money.TONNES) for c in names}, **{c: F.coalesce(c, F.lit(0)) for c in counts},
+    })
     if billed_claim:
         joined = joined.withColumn("claimed_tonnes", F.coalesce("_billed", "claimed_tonnes"))
     rupee_columns = {c.replace("tonnes", "rupees"): money.rupees(F.col(c), F.col("rate_per_tonne")) for c in names}

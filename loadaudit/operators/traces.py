@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clock, geo
-from .ordered import neighbours
+from .ordered import neighbours, numbered
 
 GAP_BUCKET_US = 6 * 3_600_000_000
 STEP_BLOCK = 4096
@@ -65,7 +65,11 @@ def trace_facts(points: DataFrame, keys=TRACE_KEYS, gap_bucket_us: int = GAP_BUC
     timed = with_times(points)
     if "inside" not in timed.columns:
         timed = timed.withColumn("inside", F.lit(False))
-    timed = timed.withColumn("_bucket", F.floor(F.col("epoch_us") / F.lit(gap_bucket_us)))
+    # Fixes without a time are spread by their place, in buckets below all others.
+    untimed = F.lit(-(1 << 50)).cast("bigint") - F.floor(F.col("seq") / F.lit(STEP_BLOCK))
+    timed = timed.withColumn("_bucket", F.coalesce(F.floor(F.col("epoch_us") / F.lit(gap_bucket_us)), untimed))
+    # An earlier join may have dealt the points by bill alone, which the window would accept.
+    timed = timed.repartition(*keys, "_bucket")
 
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy("epoch_us")
     gap = F.col("epoch_us") - F.lag("epoch_us").over(in_bucket)
@@ -131,7 +135,7 @@ def trace_quality(points: DataFrame, keys=TRACE_KEYS, block: int = STEP_BLOCK) -
     positions, fastest step (steps without elapsed time ignored) and the first point
     whose time runs backwards. Split into blocks of ``block`` points."""
     keys = list(keys)
-    timed = with_times(points).withColumn("_block", F.floor(F.col("seq") / F.lit(block)))
+    timed = with_times(points).withColumn("_block", F.floor(F.col("seq") / F.lit(block))).repartition(*keys, "_block")
     inside = Window.partitionBy(*keys, "_block").orderBy("seq")
     carried = ("seq", "lon", "lat", "epoch_us")
     local = timed.select(*keys, "_block", *carried, *[F.lag(c).over(inside).alias(f"p_{c}") for c in carried])
@@ -185,10 +189,12 @@ def backwards(points: DataFrame, keys=TRACE_KEYS, block: int = STEP_BLOCK) -> Da
 
 def thin_route(points: DataFrame, keys=TRACE_KEYS, limit: int = 60) -> DataFrame:
     """At most ``limit`` points per trace as ``route``. The points to keep are chosen
-    row by row, so no trace is gathered before it is thin."""
+    row by row, by their place among the trace's points in order of ``seq``, so gaps in
+    ``seq`` don't matter and no trace is gathered before it is thin."""
     keys = list(keys)
-    sizes = points.groupBy(*keys).agg((F.max("seq") + 1).alias("_n"))
-    kept = points.join(sizes, keys).where(geo.keeps_index(F.col("seq"), F.col("_n"), limit))
+    sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbered(points, keys, ["seq"], F.floor(F.col("seq") / STEP_BLOCK), "_place")
+    kept = placed.join(sizes, keys).where(geo.keeps_index(F.col("_place") - 1, F.col("_n"), limit))
     ordered = F.array_sort(F.collect_list(F.struct("seq", geo.pt(F.col("lon"), F.col("lat")).alias("p"))))
     return kept.groupBy(*keys).agg(F.transform(ordered, lambda x: x["p"]).alias("route"))
 

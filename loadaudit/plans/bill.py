@@ -485,6 +485,10 @@ class Audit:
     def summary(self) -> DataFrame:
         return rollup.bill_summary(self.drains, self.case.bills, billed_claim=False)
 
+    @cached_property
+    def gaps(self) -> DataFrame:
+        return missing_evidence(self.case)
+
 
 def evaluate(case: BillCase, limits: Limits | None = None, staged: bool = True) -> Audit:
     return Audit(case, limits, staged)

@@ -291,7 +291,7 @@ def chk_r6(traced: DataFrame, cases: DataFrame, limits: CaseLimits | None = None
     x = F.col("_x")
     minutes = text.fixed0(F.greatest(x["minutes"], F.lit(0.0)))
     branches = [
-        Branch(x.isNotNull(), FAIL, say("r6_clash", _name(), F.col("_other_name"), text.fixed(x["km"], 1), minutes), HARD,
+        Branch(x.isNotNull(), FAIL, say("r6_clash", _name(), F.col("_other_name"), text.fixed(x["km"], 1), minutes, text.fixed0(F.lit(limits.speed_kmh))), HARD,
                basis="supplied",
                evidence={"otherEvidenceId": x["other"], "km": round_half_even(x["km"], 2), "minutes": round_half_even(x["minutes"], 1)}),
         Branch(_always(), PASS, say("r6_fine", _name()), basis="supplied"),
@@ -679,9 +679,10 @@ def split_ready(evidence: DataFrame, now_epoch: Column) -> tuple[DataFrame, Data
 def line_from_photos(photos: DataFrame) -> DataFrame:
     """A line per case through its photos' fixes in capture order, repeats dropped. It is
     long form: one row per kept vertex, so no case is gathered."""
-    from ..operators.ordered import neighbours
+    from ..operators.ordered import neighbours, range_buckets
 
     fixes = photos.where("has_gps").select("case_id", F.coalesce("timestamp", F.lit("")).alias("t"), "pos", "evidence_id", "lon", "lat")
-    near = neighbours(fixes, ["case_id"], ["t", "pos", "evidence_id"], F.substring("t", 1, 10), ["lon", "lat"])
+    order = ["t", "pos", "evidence_id"]
+    near = neighbours(range_buckets(fixes, ["case_id"], order, "_range"), ["case_id"], order, F.col("_range"), ["lon", "lat"])
     moved = F.col("prev").isNull() | (F.col("prev.lon") != F.col("lon")) | (F.col("prev.lat") != F.col("lat"))
     return near.where(moved).select("case_id", "t", "pos", "evidence_id", "lon", "lat")

@@ -64,7 +64,7 @@ SAY = {
     "gap_few": "The trace has too few timed points.",
     "gap_dark": "The trace goes dark for %s minutes.",
     "gap_fine": "The longest gap between fixes is %s s.",
-    "r6_clash": "%s and %s put the same truck %s km apart with only %s minutes between them (limit 40 km/h).",
+    "r6_clash": "%s and %s put the same truck %s km apart with only %s minutes between them (limit %s km/h).",
     "r6_fine": "%s does not clash with the truck's other traces.",
     "r7_unread": "The slip's net weight could not be read.",
     "r7_over": "The slip claims %s t on a truck rated %s t.",

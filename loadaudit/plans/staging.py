@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's folder. Only a local session without one gets its own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's folder. Only a local session without one gets its own; elsewhere a
+    session that names none is an error."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if folder:
         return folder.rstrip("/")
@@ -21,24 +22,12 @@ def shared_folder(spark: SparkSession) -> str | None:
         folder = tempfile.mkdtemp(prefix="loadaudit-")
         spark.conf.set(SETTING, folder)
         return folder
-    return None
+    raise ValueError(f"{SETTING} must name a folder that driver and executors share")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back with its own schema; unchanged when the
-    cluster names no shared folder."""
+    """``df`` written as Parquet and read back with its own schema."""
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores when a small input has fewer splits than that, for work that
-    is heavy per row. A large input has more splits than cores and is left alone. With
-    nearly unique ``keys`` the rows need no sort before they move."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

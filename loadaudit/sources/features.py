@@ -108,10 +108,9 @@ def classify_ways(ways: DataFrame) -> DataFrame:
     )
 
 
-def split_lines(lines: DataFrame, max_m: float = SECTION_MAX_M, wanted: int | None = None) -> DataFrame:
+def split_lines(lines: DataFrame, max_m: float = SECTION_MAX_M) -> DataFrame:
     """Long lines cut into sections of evenly divided vertices that share one vertex.
-    Short lines stay whole with a null section. Longest first; ``wanted`` keeps the
-    first ``3 * wanted``."""
+    Short lines stay whole with a null section. Longest first."""
     pieces = F.greatest(F.lit(1), F.ceil(F.col("length_m") / max_m).cast("int"))
     n = F.size("line")
     # Rows are cut by explode; a piece is a slice of its own line.
@@ -122,8 +121,7 @@ def split_lines(lines: DataFrame, max_m: float = SECTION_MAX_M, wanted: int | No
     piece = F.when(whole, F.col("line")).otherwise(F.slice("line", start + 1, F.greatest(end - start, F.lit(0))))
     out = cut.withColumn("_line", piece).where(whole | (F.size("_line") >= 2))
     length = F.when(whole, F.col("length_m")).otherwise(round_half_even(geo.line_length_m(F.col("_line")), 1))
-    rows = out.select(
+    return out.select(
         *[c for c in lines.columns if c not in ("line", "length_m")], F.col("_line").alias("line"), length.alias("length_m"),
         F.when(~whole, F.col("_i") + 1).alias("section"),
     ).orderBy(F.desc("length_m"))
-    return rows if wanted is None else rows.limit(wanted * 3)

@@ -192,7 +192,7 @@ def vision_verdicts(raw: DataFrame, content: str = "content", keep: tuple[str, .
             load=F.when(coerce.kind_of(load) == "text", F.lower(text.strip(F.try_variant_get(payload, "$.load_type", "string")))),
             notes_ok=F.coalesce(coerce.kind_of(notes) == "text", F.lit(False)),
             notes=F.when(coerce.kind_of(notes) == "text", F.try_variant_get(payload, "$.notes", "string")).otherwise(
-                F.when(F.schema_of_variant(notes) != "VOID", F.to_json(notes))
+                F.when(F.schema_of_variant(notes) != "VOID", text.spaced_json(F.to_json(notes)))
             ),
         )
 

@@ -101,18 +101,33 @@ def split_failures(df: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 
 
 # ------------------------------------------------------------------- sinks
+#: What a real row of a verdict table has; a row without it only says that its bill was audited.
+_OWN_COLUMN = {"findings": "rule", "trips": "trip_id", "drains": "drain_id"}
+
+
 def write_verdicts(audit: Audit, path: str) -> None:
-    """Findings, trips, drains and summaries, partitioned by bill. Only the partitions of
-    the audited bills are replaced, so a repeated run leaves the same tables."""
+    """Findings, trips, drains, summaries and gaps, partitioned by bill. Only the partitions
+    of the audited bills are replaced, so a repeated run leaves the same tables. Every
+    audited bill has a marker row in each table that may hold nothing else for it: what a
+    bill no longer has disappears. ``read_verdicts`` leaves the markers out."""
+    audited = audit.case.bills.select("bill_id").distinct()
     for name, frame in (
-        ("findings", audit.findings), ("trips", audit.trips), ("drains", audit.drains), ("summary", audit.summary),
+        ("findings", audit.findings), ("trips", audit.trips), ("drains", audit.drains), ("summary", audit.summary), ("gaps", audit.gaps),
     ):
+        if name in _OWN_COLUMN:
+            frame = frame.unionByName(audited, allowMissingColumns=True)
         (
             frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bill_id")
             .parquet(f"{path}/{name}")
         )
 
 
+def read_verdicts(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of the tables of ``write_verdicts``."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    return rows.where(F.col(_OWN_COLUMN[name]).isNotNull()) if name in _OWN_COLUMN else rows
+
+
 PART_SIZE = 2000
 
 

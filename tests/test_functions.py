@@ -134,3 +134,39 @@ def test_wall_clock_ignores_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == 1710037800250000
+
+
+def test_clock_texts_with_seconds(spark):
+    rows = spark.createDataFrame([("09:42",), ("09:42:10",), ("0942",), (None,)], "c string")
+    at = clock.iso_parts(F.lit("2026-10-09T10:00:00+05:30"))["wall_us"]
+    got = [(r.apart, r.minute) for r in rows.select(clock.minutes_apart(F.col("c"), at).alias("apart"), clock.minute_of_day(F.col("c")).alias("minute")).collect()]
+    assert got == [(-18.0, 582), (None, 582), (None, None), (None, None)]
+
+
+def test_compact_iso_texts_and_offsets(spark):
+    import datetime as dt
+
+    texts = [
+        "20261009T070000Z", "2026-10-09T07", "20261009", "20261009T0700", "2026-10-09T070000+0530", "20261009T07:00:00.5-04:30", "2026-10-09T07Z", "2026-10-09 07:00:00+05",
+        "2026-10-09T07:00:00+25:00", "2026-10-09T07:00:00+05:75", "2026-1-9", "20261309", "202610", "2026-10-09T7", "2026-10-09T07:00:00+23:59",
+    ]
+    got = {r.c: r.p for r in spark.createDataFrame([(t,) for t in texts], "c string").select("c", clock.iso_parts(F.col("c")).alias("p")).collect()}
+    for t in texts:
+        try:
+            want = dt.datetime.fromisoformat(t)
+        except ValueError:
+            assert got[t] is None, t
+            continue
+        offset = want.utcoffset()
+        assert got[t].offset_min == (None if offset is None else offset.total_seconds() // 60), t
+        epoch = (want if want.tzinfo else want.replace(tzinfo=dt.timezone.utc)).timestamp()
+        assert got[t].epoch_us == round(epoch * 1_000_000), t
+
+
+def test_space_of_any_script_and_json_text(spark):
+    import json
+
+    row = spark.range(1).select(
+        text.clean_text(F.lit("\u00a09.80\u2003 T\u3000")).alias("clean"), text.spaced_json(F.lit('{"a,b":["x:\\"y,",1],"é🙂":{}}')).alias("json")
+    ).first()
+    assert row.clean == "9.80 T" and row.json == json.dumps({"a,b": ['x:"y,', 1], "é🙂": {}})

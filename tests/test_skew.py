@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loadaudit.functions import geo
 from loadaudit.operators import control, photos, quality, traces
-from loadaudit.operators.ordered import neighbours, numbered
+from loadaudit.operators.ordered import neighbours, numbered, range_buckets
 from loadaudit.sources import traces as trace_files
 
 
@@ -118,6 +118,26 @@ def test_thin_route_keeps_the_same_points(spark):
         assert got[f"t{n}"] == want
 
 
+def test_thin_route_with_gaps_in_seq(spark):
+    rows = [("B", "t", 1000 * i * i, float(i), 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "bill_id string, trace_key string, seq bigint, lon double, lat double")
+    route = [int(p.lon) for p in traces.thin_route(df, limit=20).first().route]
+    assert route == [int(i * 50 / 19) for i in range(19)] + [49]
+
+
+def test_neighbours_over_measured_ranges(spark):
+    rows = [("hot", f"photos/camera/2026/{i * 7919 % 2003:05d}.jpg") for i in range(900)] + [("cold", "photos/a.jpg")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = range_buckets(spark.createDataFrame(rows, "k string, name string"), ["k"], ["name"], "_range")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert df.where("k = 'hot'").select("_range").distinct().count() > 1
+    got = {r.name: r.prev.name if r.prev else None for r in neighbours(df, ["k"], ["name"], F.col("_range"), ["name"]).where("k = 'hot'").collect()}
+    names = sorted(n for k, n in rows if k == "hot")
+    assert got == dict(zip(names, [None, *names]))
+
+
 def test_budget_rounds_equal_the_fold(spark):
     draw = random.Random(9)
     rows = [(draw.choice(["hot", "hot", "x", "y"]), i, draw.choice(["photo", "slip", "memo"]), draw.randrange(1, 60)) for i in range(200)]
@@ -185,3 +205,21 @@ def test_trace_refusals_one_per_reason(spark):
     for key, (_, reason) in cases.items():
         assert (reasons.get(key) is None) if reason is None else reason in reasons[key], (key, reasons.get(key))
     assert {r.trace_key for r in good.select("trace_key").distinct().collect()} == {"good"}
+
+
+def test_buckets_of_a_hot_bill_are_dealt_apart(spark):
+    """With the fences joined by shuffle, the points still meet an exchange by bucket."""
+    rows = [("B", "t", i, 72.8 + i / 1e5, 19.0, i * 60_000_000) for i in range(60)] + [("B", "t", 60 + i, 72.8, 19.0, None) for i in range(20_000)]
+    points = spark.createDataFrame(rows, "bill_id string, trace_key string, seq bigint, lon double, lat double, epoch_us bigint")
+    points = points.selectExpr("*", "epoch_us AS wall_us", "CAST(NULL AS INT) AS offset_min")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        other = spark.createDataFrame([("B", 1)], "bill_id string, x int")
+        placed = points.join(other, "bill_id").withColumn("inside", F.lit(False)).drop("x")
+        plan = traces.trace_facts(placed)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert any("hashpartitioning" in x and "trace_key" in x and "_bucket" in x for x in plan.split("\n"))
+    facts = traces.trace_facts(placed).first()
+    assert (facts.n_points, facts.n_timed, facts.max_gap_s) == (20_060, 60, 60.0)
