@@ -5,8 +5,8 @@ nodes are counted by value; whatever shares a band value is linked to its least
 and the components of these stars are the candidate groups, supersets of all pairs that
 share a band. A group is cut by hash into blocks of about ``BLOCK`` nodes and every pair of
 blocks is one unit of work, however large the group; there the n-gram sets are compared whole
-by matrix products. A unit gives each node's number of links and one star per set of linked
-nodes, never a list of pairs.
+by matrix products. A unit gives each node's number of links and one star per component of
+its links, never a list of pairs.
 """
 
 from __future__ import annotations
@@ -106,8 +106,19 @@ def _linked(left: list[np.ndarray], right: list[np.ndarray], over: int, under: i
     return both * under >= (size[0][:, None] + size[1][None, :] - both) * over
 
 
+def _roots(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least node of the component of each node of left and of right."""
+    none, before = np.iinfo(np.int64).max, None
+    while before is None or (left != before).any():
+        before = left
+        right = np.minimum(right, np.where(link, left[:, None], none).min(axis=0))
+        left = np.minimum(left, np.where(link, right[None, :], none).min(axis=1))
+    return left, right
+
+
 def _unit(rows: list[tuple], i: int, j: int, over: int, under: int) -> list[tuple[int, int, int]]:
-    """(node, least node linked with it here, links) of one pair of blocks."""
+    """(node, least node of its component of the links here, links here) of one pair of blocks:
+    a spanning forest, so no component of all links falls apart."""
     sides = [[r for r in rows if r[3] == k] for k in ((i, j) if i != j else (i,))]
     left, right = sides[0], sides[-1]
     if not left or not right:
@@ -116,10 +127,11 @@ def _unit(rows: list[tuple], i: int, j: int, over: int, under: int) -> list[tupl
     if i == j:
         np.fill_diagonal(link, False)
     node, copies = ([np.array([r[k] for r in s], np.int64) for s in (left, right)] for k in (1, 2))
+    root = _roots(link, *node)
     out = []
     for side, m in ((0, link), (1, link.T)) if i != j else ((0, link),):
         for k in np.flatnonzero(m.any(axis=1)):
-            out.append((int(node[side][k]), int(node[1 - side if i != j else 0][m[k]].min()), int(copies[1 - side if i != j else 0][m[k]].sum())))
+            out.append((int(node[side][k]), int(root[side][k]), int(copies[1 - side][m[k]].sum())))
     return out
 
 

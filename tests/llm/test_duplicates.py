@@ -36,6 +36,18 @@ def test_links_and_classes(spark, monkeypatch, block):
     assert got == {i: (top[i], len(linked[i])) for i in docs}
 
 
+@pytest.mark.parametrize("block", [3, 96])
+def test_chains_stay_whole(spark, monkeypatch, block):
+    """Windows of one text, each linked with its neighbours only."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    docs = {100 * c + k: " ".join(f"c{c}w{x}" for x in range(10 * k, 10 * k + 104)) for c in range(40) for k in range(4 + c % 5)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()}
+    linked = brute.links(docs)
+    top = brute.classes(docs, linked)
+    assert set(top.values()) == {100 * c for c in range(40)} and max(map(len, linked.values())) == 2
+    assert got == {i: (top[i], len(linked[i])) for i in docs}
+
+
 def test_odd_rows_of_the_join(odd, none):
     joined = ngram_join.join(odd)
     got = sorted((str(r.doc_id), r.class_id, r.n_links) for r in joined.collect() if r.doc_id in (1, 2, 3, 4, 5))
