@@ -3,14 +3,17 @@
 Texts and templates are read without case, punctuation and repeated spaces. From every
 ``WINDOW`` neighbouring character grams of a template the one of least hash is kept, so any
 run of ``WINDOW + GRAM - 1`` characters that a text shares with a template holds a kept gram;
-every gram of a text is looked up. Hits on neighbouring diagonals make a candidate region,
-and the words of the region are aligned with those of the template in a band around its
-diagonal. One pass over the scan; the templates are a parameter and travel with the code.
+every gram of a text is looked up. Around the diagonal of every hit the words of the text are
+aligned with those of the template in a band; of the alignments that reach the coverage the
+best are places, and hits outside of them are aligned again between them until none gives
+another. One pass over the scan; the templates are a parameter and travel with the code.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +98,7 @@ class Index:
 
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
-        self.words, self.starts = [], []
+        self.words, self.ends = [], []
         value, owner, place = [], [], []
         for k, name in enumerate(self.names):
             buf = np.frombuffer(templates[name].encode(), np.uint8)
@@ -107,7 +110,7 @@ class Index:
             owner.append(np.full(len(kept), k))
             place.append(kept)
             first, last, _ = words.word_spans(text, np.array([0, len(text)]))
-            self.starts.append(first)
+            self.ends.append(last)
             self.words.append([text[a:b].tobytes() for a, b in zip(first, last, strict=True)])
         value, owner, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (value, owner, place))
         order = np.argsort(value, kind="stable")
@@ -127,41 +130,65 @@ class Index:
         n = hi - lo
         post = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         doc, hit, owner, place = np.repeat(doc, n), np.repeat(hit, n), self.owner[post], self.place[post]
-        order = np.lexsort((hit, owner, doc))
-        out = set()
-        region: list[tuple[int, int]] = []
-        key = None
-        for d, o, x, p in zip(doc[order].tolist(), owner[order].tolist(), hit[order].tolist(), place[order].tolist(), strict=True):
-            wide = 8 * BAND
-            if region and (key != (d, o) or abs((x - p) - (region[-1][0] - region[-1][1])) > wide):
-                out.add(self._aligned(text, source, at, key, region))
-                region = []
-            key = (d, o)
-            region.append((x, p))
-        if region:
-            out.add(self._aligned(text, source, at, key, region))
-        return sorted(r for r in out if r and r[2] >= least * r[3])
-
-    def _aligned(self, text, source, at, key, region):
-        d, o = key
-        template, starts = self.words[o], self.starts[o]
-        slack = 8 * BAND
-        size = int(starts[-1]) + len(template[-1])
-        lo = max(int(at[d]), min(x - p for x, p in region) - slack)
-        hi = min(int(at[d + 1]), max(x - p for x, p in region) + size + slack)
-        # Whole words only.
-        while lo > at[d] and text[lo - 1] != 32:
-            lo -= 1
-        while hi < at[d + 1] and text[hi] != 32:
-            hi += 1
-        own = text[lo:hi]
-        first, last, _ = words.word_spans(own, np.array([0, len(own)]))
-        x, p = region[len(region) // 2]
-        diagonal = int(np.searchsorted(first, x - lo, "right")) - int(np.searchsorted(starts, p, "right"))
-        matched, a, b = align(template, [own[i:j].tobytes() for i, j in zip(first.tolist(), last.tolist(), strict=True)], diagonal)
+        # The first byte of a word: a gram that begins with a space belongs to the word behind it.
+        hit, place = hit + (text[hit] == 32), place + (text[hit] == 32)
+        order = np.lexsort((owner, doc))
+        doc, owner, hit, place = doc[order], owner[order], hit[order], place[order]
+        out = []
+        for d, rows in groupby(range(len(doc)), lambda k: doc[k]):
+            rows = np.array(list(rows))
+            own = text[at[d] : at[d + 1]]
+            first, last, _ = words.word_spans(own, np.array([0, len(own)]))
+            for o in np.unique(owner[rows]).tolist():
+                mine = rows[owner[rows] == o]
+                word = np.searchsorted(last, hit[mine] - at[d], "right")
+                diagonal = word - np.searchsorted(self.ends[o], place[mine], "right")
+                hits = np.unique(np.stack([word, diagonal], axis=1), axis=0).tolist()
+                for a, b, matched in self._places(own, first, last, self.words[o], hits, least):
+                    out.append((int(d), o, matched, len(self.words[o]), int(source[at[d] + first[a]]), int(source[at[d] + last[b - 1] - 1]) + 1))
+        return sorted(out)
+
+    def _places(self, own, first, last, template, hits, least) -> list[tuple[int, int, int]]:
+        """(first and end word, template words matched) of places that don't overlap. hits:
+        (word of the text, diagonal)."""
+        taken: list[tuple[int, int, int]] = []
+        tried: dict[tuple[int, int, int], tuple[int, int, int] | None] = {}
+        while hits:
+            found, left = set(), []
+            for word, diagonal in hits:
+                k = bisect_right(taken, word, key=lambda t: t[0])
+                if k and word < taken[k - 1][1]:
+                    continue
+                left.append((word, diagonal))
+                lo = max(0, diagonal - BAND, taken[k - 1][1] if k else 0)
+                hi = min(len(first), diagonal + len(template) + BAND, taken[k][0] if k < len(taken) else len(first))
+                if (diagonal, lo, hi) not in tried:
+                    tried[diagonal, lo, hi] = self._best(own, first, last, template, diagonal, lo, hi, least)
+                if best := tried[diagonal, lo, hi]:
+                    found.add(best)
+            if not found:
+                break
+            for a, b, matched in sorted(found, key=lambda t: (-t[2], t[1] - t[0], t[0])):
+                k = bisect_left(taken, a, key=lambda t: t[0])
+                if (not k or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    insort(taken, (a, b, matched))
+            hits = left
+        return taken
+
+    def _best(self, own, first, last, template, diagonal, lo, hi, least) -> tuple[int, int, int] | None:
+        """(first and end word, template words matched) of the best alignment within words lo
+        to hi; where it does not reach ``least``, of the best beside it that does."""
+        text = own[first[lo] : last[hi - 1]].tobytes().split() if lo < hi else []
+        known = set(text)
+        if sum(w in known for w in template) < least * len(template):
+            return None
+        matched, a, b = align(template, text, diagonal - lo)
         if not matched:
             return None
-        return d, o, matched, len(template), int(source[lo + first[a]]), int(source[lo + last[b - 1] - 1]) + 1
+        if matched >= least * len(template):
+            return lo + a, lo + b, matched
+        beside = [self._best(own, first, last, template, diagonal, *x, least) for x in ((lo, lo + a), (lo + b, hi))]
+        return max((x for x in beside if x), key=lambda t: t[2], default=None)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -169,7 +196,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     coverage (n_matched / n_words), n_matched, n_words, start and end (character offsets in
     the text).
 
-    Several templates may match one place; each is reported. Templates of fewer than ``GRAM``
+    Several templates may match one place; each is reported. Places of one template don't
+    overlap, however near they are. Templates of fewer than ``GRAM``
     characters have no fingerprint and are refused. Null, empty and blank texts give no rows,
     rows that repeat give theirs each, an empty table gives none.
     """

@@ -163,3 +163,24 @@ def test_licences(spark, odd, none):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(none).count() == 0
     with pytest.raises(ValueError):
         license_scan.scan(odd, {"x": "short"})
+
+
+def test_licences_on_successive_lines(spark):
+    """Every copy of a notice is a place of its own, however near the next one is."""
+    docs, want = {}, set()
+    for i, name in enumerate(sorted(TEMPLATES)):
+        docs[i] = "\n".join([TEMPLATES[name]] * 30)
+        want |= {(i, name, 1.0, k * (len(TEMPLATES[name]) + 1)) for k in range(30)}
+    docs[50] = "\n".join(f"lib{k}\nReleased under the MIT License." if k % 3 else "Released under the new MIT License" for k in range(1000))
+    want |= {(50, "mit-notice", 1.0, m.start()) for m in re.finditer("Released", docs[50])}
+    words = TEMPLATES["mit"].split(" ")
+    docs[51] = " ".join([*words, *words[:60], *words, *(w for k, w in enumerate(words) if k % 12), *words])
+    found = license_scan.scan(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()
+    got = [(r.doc_id, r.template, r.coverage, r.start) for r in found]
+    assert len(got) == len(set(got))
+    assert want == {g for g in got if g[0] == 50 or g[0] < 50 and g[1] == sorted(TEMPLATES)[g[0]]}
+    assert [g[2] < 1 for g in sorted(got, key=lambda g: g[3]) if g[0] == 51] == [False, False, True, False]
+    for i in docs:
+        for name in TEMPLATES:
+            spans = sorted((r.start, r.end) for r in found if (r.doc_id, r.template) == (i, name))
+            assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
