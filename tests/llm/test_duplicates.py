@@ -184,3 +184,15 @@ def test_licences_on_successive_lines(spark):
         for name in TEMPLATES:
             spans = sorted((r.start, r.end) for r in found if (r.doc_id, r.template) == (i, name))
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_licences_are_whole(spark):
+    ends = {"mit": "OTHER DEALINGS IN THE SOFTWARE.", "isc": "PERFORMANCE OF THIS SOFTWARE.", "bsd-2-clause": "POSSIBILITY OF SUCH DAMAGE."}
+    docs = {}
+    for i, (name, end) in enumerate(ends.items()):
+        assert TEMPLATES[name].endswith(end)
+        docs[2 * i], docs[2 * i + 1] = TEMPLATES[name] + " code", re.split('THE SOFTWARE IS|THIS SOFTWARE IS', TEMPLATES[name])[0] + "code"
+    got = license_scan.scan(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.template, r.coverage) for r in got} == {(2 * i, name, 1.0) for i, name in enumerate(ends)}
+    assert all(docs[r.doc_id][r.end :] == ". code" for r in got)
+    assert {n for n in TEMPLATES if n.startswith(("apache", "gpl", "mpl")) and not n.endswith(("-notice", "-header"))} == set()
