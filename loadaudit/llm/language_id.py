@@ -1,15 +1,16 @@
 """Language identification by compression.
 
-Each language has a zstandard dictionary of raw content, texts of a bounded sample of its
-labelled documents. A whole text, without its case, is compressed with every dictionary; the
+Each language has a zstandard dictionary of raw content, pieces from hashed places of
+the texts of a bounded sample of its labelled documents. A whole text, without its case, is compressed with every dictionary; the
 language whose dictionary makes it smallest is predicted, and the prediction is rejected
 when the runner-up comes too near. Where a text comes that near, it is compressed once more
-at a higher level. One pass over the scan; texts are never cut.
+at a higher level. One pass over the scan; texts that are judged are never cut.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,12 @@ UNKNOWN = "und"
 _RESULT = pa.schema([(ID, pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
 
 
+def _piece(data: bytes, share: int) -> bytes:
+    """``share`` bytes of ``data`` at most, whole characters from a place that its hash gives."""
+    at = zlib.crc32(data) % (max(len(data) - share, 0) + 1)
+    return data[at : at + share].decode(errors="ignore").encode()
+
+
 def dictionaries(docs: DataFrame, learn: Column, lang_col: str = "lang") -> dict[str, bytes]:
     """One dictionary for each language of the documents that ``learn`` holds for. The sample
     is ``SAMPLE_DOCS`` documents a language: the driver gets that and no more."""
@@ -48,8 +55,8 @@ def dictionaries(docs: DataFrame, learn: Column, lang_col: str = "lang") -> dict
     out = {}
     for lang, own in sorted(parts.items(), key=lambda p: (frequent[p[0]], p[0])):
         # An equal share of every document, so that one long text doesn't make the dictionary.
-        share = max(256, DICTIONARY_BYTES // len(own))
-        out[lang] = b"\n".join(data[:share] for _, data in sorted(own))[:DICTIONARY_BYTES]
+        share = max(256, DICTIONARY_BYTES // len(own) - 1)
+        out[lang] = b"\n".join(_piece(data, share) for _, data in sorted(own))[:DICTIONARY_BYTES]
     return out
 
 

@@ -119,3 +119,18 @@ def test_one_row_of_repeated_rows_stays(spark, odd):
     assert out.columns == odd.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted("1 3 4 5 6 7 7 8 9 10 11 12 None".split())
     assert ngram_join.join(odd).filter("class_id is null").count() == 0
+
+
+def test_languages_behind_the_same_header(spark):
+    """Dictionaries hold more of a text than its beginning, and whole characters."""
+    draw = np.random.default_rng(3)
+    header = " ".join(f"header{k} of every document" for k in range(80)) + "\n"
+    known = {lang: ["".join(draw.choice(list(letters), draw.integers(3, 8))) for _ in range(60)] for lang, letters in (("aa", "abcdeé"), ("bb", "uvwxyü"))}
+    text = lambda lang: " ".join(draw.choice(known[lang], 400))
+    rows = [(k, header + text(lang), lang) for k, lang in enumerate(["aa", "aa", "bb"] * 40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = language_id.dictionaries(frame, F.lit(True))
+    assert all(len(d) <= language_id.DICTIONARY_BYTES and d.decode() for d in learned.values())
+    asked = spark.createDataFrame([(k, text(lang), lang) for k, lang in enumerate(["aa", "bb"] * 10)], "doc_id bigint, text string, lang string")
+    got = language_id.predict(asked, learned).join(asked, "doc_id").collect()
+    assert len(got) == 20 and all(r.accepted and r.lang_pred == r.lang for r in got)
