@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, quality_crf, quality_rules, suffix_dedup, token_files
+from . import (
+    decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, periodic_runs, quality_crf, quality_rules, suffix_dedup, token_files,
+)
 from .common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +125,34 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _repeating(docs: DataFrame) -> DataFrame:
+    """``documents`` whose h = crc32(doc_id) is a multiple of ten repeat p of their words from
+    word a on: a = g % n, p = 1 + (n - a) / (3 + g % 8), with g = h / 10 and n words."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def built(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.concat_ws(" ", F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a))
+
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    text = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, built(w)))[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(_repeating(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # The greatest of (length, -start, -period) is the longest run, the first of equal ones.
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    out = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), top.alias("top"), F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit(""))).alias("lines"), "collapsed")
+    return out.select(
+        "doc_id", "n_runs", (-F.col("top.s")).alias("start"), F.col("top.n").alias("length"), (-F.col("top.p")).alias("period"),
+        F.floor(1000 * F.col("top.n") / -F.col("top.p")).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -96,3 +96,27 @@ def contained(docs, items):
             if wanted and 5 * n >= 4 * len(wanted):
                 out.add((i, k, len(wanted), n))
     return out
+
+
+def runs(words, least=12):
+    """(start, length, smallest period) of every maximal run, by trying every period."""
+    code = {}
+    w = np.array([code.setdefault(x, len(code)) for x in words])
+    out = []
+    for p in range(1, len(w) // 2 + 1):
+        edges = np.diff(np.concatenate([[0], (w[:-p] == w[p:]).astype(int), [0]]))
+        for s, e in zip(np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist(), strict=True):
+            n = e - s + p
+            piece = w[s : s + n]
+            if n >= max(least, 2 * p) and not any((piece[q:] == piece[:-q]).all() for q in range(1, p)):
+                out.append((s, n, p))
+    return sorted(out)
+
+
+def collapsed(words, found):
+    gone = {i for s, n, p in found for i in range(s + p, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def words(text):
+    return WORD.findall(text or "")
