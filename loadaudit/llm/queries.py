@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, periodic_runs, quality_crf, quality_rules, suffix_dedup, token_files,
+    decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, periodic_runs, quality_crf, quality_rules, sentence_pieces, suffix_dedup,
+    token_files,
 )
 from .common import ship, table
 
@@ -156,3 +157,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", (-F.col("top.s")).alias("start"), F.col("top.n").alias("length"), (-F.col("top.p")).alias("period"),
         F.floor(1000 * F.col("top.n") / -F.col("top.p")).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
