@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, periodic_runs, quality_crf, quality_rules, sentence_pieces, suffix_dedup,
-    token_files,
+    decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, periodic_runs, prefix_trie, quality_crf, quality_rules,
+    sentence_pieces, suffix_dedup, token_files,
 )
-from .common import ship, table
+from .common import cut, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -163,3 +163,54 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentence_pieces.encode(table(spark, sf_dir, "documents"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _rebuilt(conversations: DataFrame) -> DataFrame:
+    """Conversation c begins with the first h turns of conversation c - c % 20, h = crc32(c) % 4,
+    and goes on with its own turns behind its first h."""
+    own = cut(prefix_trie.sequences(conversations), "turns")
+    heads = own.filter("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    head = F.coalesce(F.slice("head", F.lit(1), h), F.array().cast(own.schema["turns"].dataType))
+    rest = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    return own.withColumn("base", F.expr("conv_id - conv_id % 20")).join(heads, "base", "left").select("conv_id", F.concat(head, rest).alias("turns"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_rebuilt(table(spark, sf_dir, "conversations")))
+
+
+STATEMENTS["op12_prefix_trie"] = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'id': sha256(strlen(role) || ':' || role || text), 'words': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))}
+    ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM rows_ GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, b:
+    list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295), 4294967295) % 4 AS h
+  FROM own
+), seqs AS (
+  SELECT c.conv_id, list_concat(CASE WHEN b.turns IS NULL THEN [] ELSE b.turns[1:c.h] END, c.turns[c.h + 1:]) AS turns
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20
+), places AS (
+  SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM seqs
+), named AS (
+  SELECT conv_id, n, depth, array_to_string(list_transform(turns[1:depth], lambda t: t.id), '') AS name,
+    array_to_string(list_transform(turns[1:depth - 1], lambda t: t.id), '') AS above, CASE WHEN depth = 0 THEN 0 ELSE turns[depth].words END AS words
+  FROM places
+), nodes AS (
+  SELECT name, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own_saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM named GROUP BY name, depth
+), kids AS (SELECT above AS name, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (name, depth)),
+sums AS (
+  SELECT a.name, a.depth, count(*) FILTER (b.n_children = 0) AS n_leaves, sum(b.own_saved) AS saved_tokens
+  FROM full_ a JOIN full_ b ON b.depth >= a.depth AND starts_with(b.name, a.name) GROUP BY ALL
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN sums s USING (name, depth) LEFT JOIN full_ p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.name = f.above
+"""

@@ -1,5 +1,6 @@
 """Plain Python versions of the operators, for small inputs."""
 
+import hashlib
 import re
 import struct
 from collections import Counter, defaultdict
@@ -120,3 +121,21 @@ def collapsed(words, found):
 
 def words(text):
     return WORD.findall(text or "")
+
+
+def trie(convs, words):
+    """Nodes of the trie of id -> tuple of turns; words: turn -> words. Rows by depth, then id."""
+    members, kids, out = defaultdict(list), defaultdict(list), {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    for p in members:
+        if p:
+            kids[p[:-1]].append(p)
+    for p in sorted(members, key=len, reverse=True):
+        leaves = sum(out[k][5] for k in kids[p]) or 1
+        saved = sum(out[k][6] for k in kids[p]) + (len(members[p]) - 1) * (words[p[-1]] if p else 0)
+        ends = ",".join(str(c) for c in sorted(members[p]) if len(convs[c]) == len(p))
+        over = min(members[p[:-1]]) if p else None
+        out[p] = (min(members[p]), len(p), over, len(members[p]), len(kids[p]), leaves, saved, hashlib.sha256(ends.encode()).hexdigest())
+    return sorted(out.values(), key=lambda r: (r[1], r[0]))
