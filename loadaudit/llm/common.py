@@ -80,6 +80,25 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = ID, text_col: str
     return out.select(*docs.columns)
 
 
+#: A key is frequent with more than one row in so many; so there are at most so many of them.
+FREQUENT = 5000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``counted``, which has one row a key and in ``n`` how many of
+    ``rows`` have it. ``rows`` is a stored table.
+
+    Frequent keys, at most ``FREQUENT`` whatever the size, are broadcast, so their rows stay
+    where they are read; all others meet by a shuffle, in which no key is large.
+    """
+    counted = cut(counted, "counted")
+    bound = rows.count() / FREQUENT
+    often = counted.filter(F.col("n") > bound)
+    hot = rows.join(F.broadcast(often), key)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(counted.filter(F.col("n") <= bound), key)
+    return hot.unionByName(rest).drop("n")
+
+
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in them) over a string column; a
     null is an empty text."""

@@ -86,7 +86,8 @@ SELECT doc_id, item_id, n_grams, n_found, n_found / n_grams AS containment FROM
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws("-", a, b)), ",")
-    return out.select("doc_id", "n_units", F.size("starts").cast("bigint").alias("n_removed"), spans.alias("removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    chars = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return out.select("doc_id", "n_units", "n_repeated", chars.alias("n_removed"), spans.alias("removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 STATEMENTS["op7_line_dedup"] = r"""
@@ -96,13 +97,25 @@ placed AS (
   SELECT *, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
     trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g')) AS normal
   FROM each
+), grouped AS (
+  SELECT *, sum((normal = '')::INT) OVER (PARTITION BY doc_id ORDER BY nth) AS par FROM placed
+), pars AS (
+  SELECT doc_id, par, string_agg(normal, ' ' ORDER BY nth) AS normal FROM grouped WHERE normal <> '' GROUP BY ALL HAVING count(*) > 1
 ), ranked AS (
-  SELECT *, normal <> '' AND row_number() OVER (PARTITION BY normal ORDER BY doc_id, nth) > 1 AS gone FROM placed
-)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+  SELECT *, len(string_split(normal, ' ')) >= 15 AS long, row_number() OVER w > 1 AS later, count(*) OVER (PARTITION BY normal) > 1 AS again
+  FROM grouped WINDOW w AS (PARTITION BY normal ORDER BY doc_id, nth)
+), ranked_pars AS (
+  SELECT *, row_number() OVER w > 1 AS later, count(*) OVER (PARTITION BY normal) > 1 AS again
+  FROM pars WHERE len(string_split(normal, ' ')) >= 15 WINDOW w AS (PARTITION BY normal ORDER BY doc_id, par)
+), marked AS (
+  SELECT r.*, r.long AND r.again AS repeated, (r.long AND r.later) OR (r.normal <> '' AND coalesce(p.later, false)) AS gone
+  FROM ranked r LEFT JOIN ranked_pars p USING (doc_id, par)
+), par_counts AS (SELECT doc_id, count(*) FILTER (again) AS n FROM ranked_pars GROUP BY 1)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (repeated) + coalesce(any_value(n), 0) AS n_repeated,
+  coalesce(sum(length(unit)) FILTER (gone), 0)::BIGINT AS n_removed,
   coalesce(string_agg(start || '-' || (start + length(unit)), ',' ORDER BY nth) FILTER (gone), '') AS removed,
   sha256(coalesce(string_agg(unit, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+FROM marked LEFT JOIN par_counts USING (doc_id) GROUP BY doc_id
 """
 
 

@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 
-from loadaudit.llm import decontaminate, license_scan, line_dedup, ngram_join, suffix_dedup
+from loadaudit.llm import common, decontaminate, license_scan, line_dedup, ngram_join, suffix_dedup
 from loadaudit.llm.graph import components
 from loadaudit.llm.license_templates import TEMPLATES
 
@@ -108,11 +108,39 @@ def test_odd_rows_of_repeated_strings(odd, none):
 
 def test_lines(odd, none, spark):
     rows = [(2, "B  b\nkeep\n\na"), (1, "A\nb B\n a "), (3, "é x\nA\nÉ X"), (4, None), (5, ""), (None, "keep")]
-    got = {r.doc_id: (r.n_units, list(zip(r.starts, r.ends)), r.kept) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: (r.n_units, list(zip(r.starts, r.ends)), r.kept) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), least=1).collect()}
     assert got == {2: (4, [(0, 4), (11, 12)], "keep\n"), 1: (3, [(6, 9)], "A\nb B"), 3: (3, [(4, 5), (6, 9)], "é x"), 4: (1, [], ""), 5: (1, [], ""), None: (1, [(0, 4)], "")}
     assert line_dedup.dedup(odd).count() == odd.count() and line_dedup.dedup(none).count() == 0
-    parts = line_dedup.dedup(spark.createDataFrame([(1, "p q\nr\n\np q\nr\n\nz")], "doc_id bigint, text string"), line_dedup.PARAGRAPH).first()
-    assert (parts.n_units, parts.starts, parts.kept) == (3, [7], "p q\nr\n\nz")
+
+
+def test_least_size_of_a_unit(spark):
+    rows = [(1, "one two three\nfour five"), (2, "One two  three\nfour five\nsix"), (3, "four five")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for least, want in ((2, {1: [], 2: [(0, 14), (15, 24)], 3: [(0, 9)]}), (3, {1: [], 2: [(0, 14)], 3: []}), (4, {1: [], 2: [], 3: []})):
+        got = line_dedup.dedup(frame, least).collect()
+        assert {r.doc_id: list(zip(r.starts, r.ends)) for r in got} == want
+        assert {r.doc_id: r.n_repeated for r in got} == {2: {1: 2, 2: 2, 3: 1}, 3: {1: 1, 2: 1, 3: 0}, 4: {1: 0, 2: 0, 3: 0}}[least]
+
+
+def test_passages_that_span_lines(spark):
+    """Lines too short to go by themselves go with a paragraph that repeats."""
+    rows = [(1, "start\n\np q\nr s\n \nend"), (2, "P  q\nr s\n\n\nother"), (3, "p q\nr s t"), (4, "r s\n\np q"), (5, "x\n\np q\nr s")]
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), least=4).collect()}
+    assert {i: (list(zip(r.starts, r.ends)), r.kept, r.n_repeated) for i, r in got.items()} == {
+        1: ([], rows[0][1], 1), 2: ([(0, 4), (5, 8)], "\n\nother", 1), 3: ([], "p q\nr s t", 0), 4: ([], "r s\n\np q", 0), 5: ([(3, 6), (7, 10)], "x\n", 1),
+    }
+
+
+def test_a_frequent_line(spark, monkeypatch):
+    """Frequent digests are broadcast, all others shuffled; both ways give the same rows."""
+    rows = [(i, f"hot line here\nown line {i}\nshared line {i // 2}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {i: ([] if i == 0 else [0]) + ([2] if i % 2 else []) for i in range(300)}
+    for bound in (5, 5000):
+        monkeypatch.setattr(common, "FREQUENT", bound)
+        got = line_dedup.dedup(frame, least=2).collect()
+        lines = {r.doc_id: [rows[r.doc_id][1][:s].count("\n") for s in r.starts] for r in got}
+        assert lines == want
 
 
 def test_items_in_documents(spark, odd, none, monkeypatch):
