@@ -477,16 +477,19 @@ def str_05(spark, d):
 
 
 @query("str_06_verify", """
-SELECT bill_id, count(*) AS drains, sum(trip_count)::BIGINT AS trips FROM v_all_drain WHERE bill_id IN (SELECT label::VARCHAR FROM embeddings) GROUP BY ALL""")
+SELECT bill_id, drain_id, trip_count, verdict, failed_rules FROM v_all_drain WHERE bill_id IN (SELECT label::VARCHAR FROM embeddings)""")
 def str_06(spark, d):
     """Photos arrive; the bills they belong to, and no others, are verified again."""
-    fx, path = Fixture(spark, d), _fresh(spark, "verified")
+    path = _fresh(spark, "verified")
+    tables.save_case(Fixture(spark, d).case, f"{path}/evidence")
     changes = _Streamed(spark, d).photos.select("bill_id")
 
-    def write(case_all, touched):
-        cut = streams.touched_case(case_all, stage(touched, "touched"))
-        tables.write_verdicts(bill.evaluate(cut, FIXTURE_LIMITS), path)
+    def load(session, touched):
+        return tables.load_case(session, f"{path}/evidence", touched=touched)
 
-    streams.stream_verify(changes, lambda session: fx.case, write, f"{path}-checkpoint", once=True).awaitTermination()
-    out = tables.read_verdicts(spark, path, "drains")
-    return out.groupBy(F.col("bill_id").cast("string").alias("bill_id")).agg(F.count(F.lit(1)).alias("drains"), F.sum("trip_count").alias("trips"))
+    def write(case_touched):
+        tables.write_verdicts(bill.evaluate(case_touched, FIXTURE_LIMITS), f"{path}/verdicts")
+
+    streams.stream_verify(changes, load, write, f"{path}/checkpoint", once=True).awaitTermination()
+    out = tables.read_verdicts(spark, f"{path}/verdicts", "drains")
+    return out.select("bill_id", "drain_id", "trip_count", "verdict", F.array_join("failed_rules", ",").alias("failed_rules"))

@@ -7,9 +7,10 @@ from loadaudit.functions import geo, money
 from loadaudit.plans import bill
 from loadaudit.plans.fixturemap import FIXTURE_LIMITS, Fixture
 from loadaudit.plans.staging import shared_folder
-from loadaudit.sources import features, files, manifests, readings, tables, traces
+from loadaudit.sources import features, files, manifests, readings, runs, tables, traces
 
 from . import sqlviews
+from .bill import GAPS_SQL, patchy_case
 from .registry import query, view
 
 KEY_SQL = """CASE l_linenumber % 5 WHEN 0 THEN 'photos/B' || (l_suppkey % 25) || '/drain' || l_suppkey || '/after-' || l_orderkey || '.jpg'
@@ -326,22 +327,32 @@ def dq_01(spark, d):
 @query("src_08_bill_context", """
 SELECT bill_id, (SELECT count(*) FROM v_wdrain x WHERE x.bill_id = b.bill_id) AS drains, (SELECT count(*) FROM v_ttrip x WHERE x.bill_id = b.bill_id) AS trips,
  (SELECT count(*) FROM v_photo x WHERE x.bill_id = b.bill_id) AS photos, (SELECT count(*) FROM v_ttrip t JOIN v_tslip s ON s.slip_key = t.trip_id WHERE t.bill_id = b.bill_id) AS slips,
- (SELECT count(*) FROM v_point x WHERE x.bill_id = b.bill_id) AS points FROM v_bill b""")
+ (SELECT count(*) FROM v_point x WHERE x.bill_id = b.bill_id) AS points, CASE WHEN bill_id::INT % 5 = 0 THEN (SELECT count(*) FROM v_ttrip x WHERE x.bill_id = b.bill_id) END AS touched_trips,
+ CASE WHEN bill_id::INT % 5 = 0 THEN (SELECT round(sum(lon) + sum(lat), 3) FROM v_photo x WHERE x.bill_id = b.bill_id AND has_gps) END AS touched_place,
+ CASE WHEN bill_id = '7' THEN (SELECT count(*) FROM v_point x WHERE x.bill_id = b.bill_id) END AS own_points FROM v_bill b""")
 def src_08(spark, d):
-    """Written as bill-partitioned tables, loaded back, joined by key for every bill."""
+    """Written as tables dealt by bill; loaded back whole, for some bills and for one."""
     fx = Fixture(spark, d)
     root = _fresh(spark, "context")
     tables.save_case(fx.case, root)
     case = tables.load_case(spark, root)
+    some = tables.load_case(spark, root, touched=case.bills.select("bill_id").where(F.col("bill_id").cast("int") % 5 == 0))
+    one = tables.load_case(spark, root, "7")
 
     def count(df, name):
         return df.groupBy("bill_id").agg(F.count(F.lit(1)).alias(name))
 
-    slips = case.trips.join(case.slips.select(F.col("s3_key").alias("slip_key")), "slip_key")
+    def slips_of(c):
+        return c.trips.join(c.slips.select("bill_id", F.col("s3_key").alias("slip_key")), ["bill_id", "slip_key"])
+
     out = case.bills.select("bill_id")
-    for df, name in ((case.drains, "drains"), (case.trips, "trips"), (case.photos, "photos"), (slips, "slips"), (case.points, "points")):
+    for df, name in ((case.drains, "drains"), (case.trips, "trips"), (case.photos, "photos"), (slips_of(case), "slips"), (case.points, "points")):
         out = out.join(count(df, name), "bill_id", "left")
-    return out.na.fill(0)
+    out = out.na.fill(0)
+    place = some.photos.where("has_gps").groupBy("bill_id").agg(F.round(F.sum("lon") + F.sum("lat"), 3).alias("touched_place"))
+    return (
+        out.join(count(some.trips, "touched_trips"), "bill_id", "left").join(place, "bill_id", "left").join(count(one.points, "own_points"), "bill_id", "left")
+    )
 
 
 def _fresh(spark, name):
@@ -569,29 +580,38 @@ def ing_08(spark, d):
 
 # ------------------------------------------------------------------- sinks
 @query("snk_01_write_verdicts", """
-SELECT bill_id, count(*) AS drains, sum(trip_count)::BIGINT AS trips FROM v_all_drain GROUP BY ALL""")
+SELECT bill_id, drain_id, trip_count, verdict, failed_rules, c::DOUBLE AS claimed_tonnes FROM v_all_drain""")
 def snk_01(spark, d):
-    """Written twice; the second run must leave the same tables."""
-    audit = bill.evaluate(Fixture(spark, d).case, FIXTURE_LIMITS)
+    """Written for all bills, then again for some; the second run leaves the others."""
+    case = Fixture(spark, d).case
     path = _fresh(spark, "verdicts")
-    tables.write_verdicts(audit, path)
-    tables.write_verdicts(audit, path)
-    out = tables.read_verdicts(spark, path, "drains").groupBy("bill_id").agg(F.count(F.lit(1)).alias("drains"), F.sum("trip_count").alias("trips"))
-    return out.withColumn("bill_id", F.col("bill_id").cast("string"))
+    tables.write_verdicts(bill.evaluate(case, FIXTURE_LIMITS), path)
+    tables.write_verdicts(bill.evaluate(case.only("3"), FIXTURE_LIMITS), path)
+    out = tables.read_verdicts(spark, path, "drains")
+    return out.select("bill_id", "drain_id", "trip_count", "verdict", F.array_join("failed_rules", ",").alias("failed_rules"), F.col("claimed_tonnes").cast("double").alias("claimed_tonnes"))
 
 
-@query("snk_02_export_cases", """
-SELECT w.bill_id, w.drain_id, coalesce(t.n, 0) AS trips, coalesce(p.n, 0) AS photos, w.bill_id <> '24' AS has_route FROM v_wdrain w
+@query("snk_02_export_cases", f"""
+SELECT w.bill_id, w.drain_id, coalesce(t.n, 0) AS trips, coalesce(p.n, 0) AS photos, w.bill_id <> '24' AS has_route, g.trips_without_slip, g.trips_without_trace, g.evidence_errors, g.drains_without_photos
+FROM v_wdrain w
 LEFT JOIN (SELECT bill_id, drain_id, count(*) AS n FROM v_ttrip GROUP BY ALL) t USING (bill_id, drain_id)
-LEFT JOIN (SELECT bill_id, drain_id, count(*) AS n FROM v_photo GROUP BY ALL) p USING (bill_id, drain_id)""")
+LEFT JOIN (SELECT bill_id, drain_id, count(*) AS n FROM v_photo GROUP BY ALL) p USING (bill_id, drain_id) JOIN ({GAPS_SQL}) g ON g.bill_id = w.bill_id""")
 def snk_02(spark, d):
-    """Documents of small parts, so large drains continue over several."""
-    audit = bill.evaluate(Fixture(spark, d).case, FIXTURE_LIMITS)
-    docs = tables.case_documents(audit, part_size=5)
-    many = lambda c: F.sum(F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)))
-    return docs.groupBy("bill_id", "drain_id").agg(
-        many("trips").alias("trips"), many("photos").alias("photos"), F.coalesce(F.max(F.size("drain.claimed_route") == 2), F.lit(False)).alias("has_route")
-    )
+    """Exported for all bills, then again for one; read back from the JSON documents."""
+    case = patchy_case(Fixture(spark, d))
+    path = _fresh(spark, "documents")
+    tables.export_cases(bill.evaluate(case, FIXTURE_LIMITS), path)
+    tables.export_cases(bill.evaluate(case.only("3"), FIXTURE_LIMITS), path)
+
+    def documents(name):
+        return runs.read(spark, path, name)
+
+    def counted(name):
+        return documents(name).groupBy("bill_id", "drain_id").agg(F.count(F.lit(1)).alias(name))
+
+    gaps = documents("bills").select("bill_id", "missing_evidence.*").drop("unreadable_traces")
+    heads = documents("drains").select("bill_id", "drain_id", F.coalesce(F.size("claimed_route") == 2, F.lit(False)).alias("has_route"))
+    return heads.join(counted("trips"), ["bill_id", "drain_id"], "left").join(counted("photos"), ["bill_id", "drain_id"], "left").na.fill(0).join(gaps, "bill_id")
 
 
 @query("agg_09_claimed_route", """

@@ -119,9 +119,13 @@ def basename(key: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(key, r"([^/]*)$", 1), F.lit("")), F.lit("photo"))
 
 
-def spaced_json(c: Column) -> Column:
+def spaced_json(c: Column, limit: int | None = None) -> Column:
     """Compact JSON with a space behind every comma and colon outside of texts, and with
-    characters beyond ASCII escaped."""
+    characters beyond ASCII escaped; ``limit`` keeps the first so many characters.
+
+    Escaped backslashes and quotes are set aside as control characters, which JSON never holds,
+    so the quotes that are left alternate between the outside and the inside of texts. Each
+    step is one pass over the characters."""
 
     def escaped(ch):
         code = F.ascii(ch)
@@ -129,8 +133,18 @@ def spaced_json(c: Column) -> Column:
         high, low = 0xD7C0 + F.shiftright(code, 10), 0xDC00 + code % 1024
         return F.when(code < 128, ch).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
 
-    spaced = F.regexp_replace(c, r'([,:])(?=(?:[^"\\]|"(?:[^"\\]|\\.)*")*$)', "$1 ")
-    return F.array_join(F.transform(F.split(spaced, ""), escaped), "")
+    aside = F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    parts = F.transform(F.split(aside, '"'), lambda part, i: F.when(i % 2 == 0, F.regexp_replace(part, "([,:])", "$1 ")).otherwise(part))
+    spaced = F.replace(F.replace(F.array_join(parts, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+    def ascii_only(text):
+        # Escaping only lengthens a text, so what is cut here is cut afterwards anyway.
+        wide = F.array_join(F.transform(F.split(text, ""), escaped), "")
+        return F.when(text.rlike(r"[^\x00-\x7F]"), wide).otherwise(text)
+
+    if limit is None:
+        return let(spaced, ascii_only)
+    return F.substring(let(F.substring(spaced, 1, limit), ascii_only), 1, limit)
 
 
 # ---- number text, as messages print it

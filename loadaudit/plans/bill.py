@@ -63,8 +63,10 @@ def bill_sites(bills: DataFrame, sites: DataFrame) -> DataFrame:
 
 def trip_evidence(trips: DataFrame, slips: DataFrame, facts: DataFrame, trace_items: DataFrame) -> DataFrame:
     """Trips with their slip (``slip_*``), trace facts and trace item (``item_*``);
-    a missing side stays null."""
+    a missing side stays null. Slips and items that know their bill meet its trips only."""
+    slip_bill, item_bill = ([c for c in df.columns if c == "bill_id"] for df in (slips, trace_items))
     slip = slips.select(
+        *slip_bill,
         F.col("s3_key").alias("slip_key"),
         F.lit(True).alias("slip_found"),
         *[
@@ -74,13 +76,16 @@ def trip_evidence(trips: DataFrame, slips: DataFrame, facts: DataFrame, trace_it
         ],
     )
     item = trace_items.select(
+        *item_bill,
         F.col("s3_key").alias("trace_key"),
         F.lit(True).alias("item_found"),
         F.col("status").alias("item_status"),
         F.col("error").alias("item_error"),
     )
     return (
-        trips.join(slip, "slip_key", "left").join(facts, ["bill_id", "trace_key"], "left").join(item, "trace_key", "left")
+        trips.join(slip, [*slip_bill, "slip_key"], "left")
+        .join(facts, ["bill_id", "trace_key"], "left")
+        .join(item, [*item_bill, "trace_key"], "left")
     )
 
 
@@ -497,11 +502,13 @@ def evaluate(case: BillCase, limits: Limits | None = None, staged: bool = True)
 # ----------------------------------------------------------------- missing
 def missing_rows(case: BillCase) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(trips without a slip, trips without a trace item, drains without photos)."""
-    slip_keys = case.slips.select(F.col("s3_key").alias("slip_key"))
-    item_keys = case.trace_items.select(F.col("s3_key").alias("trace_key"))
+    def without(table, key):
+        own = [c for c in table.columns if c == "bill_id"]
+        return case.trips.join(table.select(*own, F.col("s3_key").alias(key)), [*own, key], "left_anti")
+
     return (
-        case.trips.join(slip_keys, "slip_key", "left_anti"),
-        case.trips.join(item_keys, "trace_key", "left_anti"),
+        without(case.slips, "slip_key"),
+        without(case.trace_items, "trace_key"),
         case.drains.join(case.photos, _DRAIN_KEYS, "left_anti"),
     )
 
@@ -515,11 +522,16 @@ def missing_evidence(case: BillCase, unreadable_traces: DataFrame | None = None)
     failed = F.col("status") == "ERROR"
     trip_slips = case.trips.select("bill_id", F.col("slip_key").alias("s3_key")).distinct()
     trip_items = case.trips.select("bill_id", F.col("trace_key").alias("s3_key")).distinct()
+
+    def in_error(keys, table):
+        own = [c for c in table.columns if c == "bill_id"]
+        return keys.join(table.where(failed).select(*own, "s3_key"), [*own, "s3_key"]).select("bill_id")
+
     errors = (
         case.photos.where(failed)
         .select("bill_id")
-        .unionByName(trip_slips.join(case.slips.where(failed).select("s3_key"), "s3_key").select("bill_id"))
-        .unionByName(trip_items.join(case.trace_items.where(failed).select("s3_key"), "s3_key").select("bill_id"))
+        .unionByName(in_error(trip_slips, case.slips))
+        .unionByName(in_error(trip_items, case.trace_items))
         .select("bill_id", F.lit("evidence_errors").alias("gap"))
     )
     gaps = findings.union_findings(*gaps_by_kind, errors)

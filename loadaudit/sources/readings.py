@@ -31,35 +31,34 @@ def _answers(content: Column) -> Column:
     """``array<struct<alias,best struct<confidence,turn,text>>>`` of one response."""
     blocks = F.from_json(content, OCR_DDL)["Blocks"]
 
-    def best_answer(query, all_blocks):
+    def best_answer(query, backwards, all_blocks):
         ids = F.flatten(
             F.transform(
                 F.filter(query["Relationships"], lambda r: r["Type"] == "ANSWER"),
                 lambda r: F.coalesce(r["Ids"], F.array().cast("array<string>")),
             )
         )
-        found = F.transform(ids, lambda i: let(F.filter(all_blocks, lambda b: b["Id"] == i), lambda f: F.get(f, F.size(f) - 1)))
         answers = F.transform(
-            found,
+            F.transform(ids, lambda i: let(F.array_position(backwards, i), lambda p: F.when(p > 0, F.get(all_blocks, F.size(all_blocks) - p.cast("int"))))),
             lambda b, i: F.struct(
                 F.coalesce(b["Confidence"], F.lit(0.0)).alias("confidence"), (-i).alias("turn"), text.strip(b["Text"]).alias("text")
             ),
         )
         return F.array_max(F.filter(answers, lambda a: F.length(a["text"]) > 0))
 
-    def answers_of(all_blocks):
-        queries = F.filter(all_blocks, lambda b: (b["BlockType"] == "QUERY") & (F.length(b["Query"]["Alias"]) > 0))
+    def answers_of(v):
+        queries = F.filter(v["blocks"], lambda b: (b["BlockType"] == "QUERY") & (F.length(b["Query"]["Alias"]) > 0))
         return F.transform(
-            queries, lambda q: F.struct(q["Query"]["Alias"].alias("alias"), best_answer(q, all_blocks).alias("best"))
+            queries, lambda q: F.struct(q["Query"]["Alias"].alias("alias"), best_answer(q, v["ids"], v["blocks"]).alias("best"))
         )
 
     def last_of_alias(found):
-        return F.filter(
-            found,
-            lambda a, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["alias"] == a["alias"]),
-        )
+        names = F.reverse(F.transform(found, lambda a: a["alias"]))
+        return let(names, lambda n: F.filter(found, lambda a, i: F.array_position(n, a["alias"]) == F.size(found) - i))
 
-    return let(let(blocks, answers_of), last_of_alias)
+    # Ids from the last block to the first: a repeated id means its last block.
+    indexed = let(blocks, lambda b: let_all(answers_of, blocks=b, ids=F.reverse(F.transform(b, lambda x: x["Id"]))))
+    return let(indexed, last_of_alias)
 
 
 def ocr_answers(docs: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc",)) -> DataFrame:
@@ -192,7 +191,7 @@ def vision_verdicts(raw: DataFrame, content: str = "content", keep: tuple[str, .
             load=F.when(coerce.kind_of(load) == "text", F.lower(text.strip(F.try_variant_get(payload, "$.load_type", "string")))),
             notes_ok=F.coalesce(coerce.kind_of(notes) == "text", F.lit(False)),
             notes=F.when(coerce.kind_of(notes) == "text", F.try_variant_get(payload, "$.notes", "string")).otherwise(
-                F.when(F.schema_of_variant(notes) != "VOID", text.spaced_json(F.to_json(notes)))
+                F.when(F.schema_of_variant(notes) != "VOID", text.spaced_json(F.to_json(notes), NOTES_MAX))
             ),
         )
 
@@ -230,31 +229,72 @@ def vision_verdicts(raw: DataFrame, content: str = "content", keep: tuple[str, .
 
 # ------------------------------------------------------------------- routes
 ROUTE_DDL = (
-    "struct<Routes:array<struct<Summary:struct<Distance:double,Duration:double>,"
-    "Legs:array<struct<Geometry:struct<LineString:array<array<double>>>,"
-    "VehicleLegDetails:struct<Summary:struct<Overview:struct<Distance:double,Duration:double>>>>>>>>"
+    "struct<Summary:struct<Distance:double,Duration:double>,"
+    "Legs:array<struct<VehicleLegDetails:struct<Summary:struct<Overview:struct<Distance:double,Duration:double>>>>>>"
 )
+_NODES = "array<struct<path:array<int>,json:string>>"
+
+
+def _line_strings(json: Column) -> Column:
+    """``array<string>``: every non-empty ``Geometry.LineString`` at any depth of a JSON
+    text, an object's own before those of its members, else in the order of the text.
+
+    Each step opens the objects and arrays of one level; what a ``Geometry`` holds is not
+    searched. Objects are read as maps of texts, which keep the order of their members."""
+
+    def node(path, value):
+        return F.struct(path.alias("path"), value.alias("json"))
+
+    def opened(n):
+        members = F.when(n["json"].startswith("{"), F.from_json(n["json"], "map<string,string>"))
+        items = F.when(n["json"].startswith("["), F.from_json(n["json"], "array<string>"))
+        named = F.transform(F.map_entries(members), lambda e: F.when(e["key"] != "Geometry", e["value"]))
+        children = F.transform(F.coalesce(named, items, F.array().cast("array<string>")), lambda v, i: node(F.concat(n["path"], F.array(i)), v))
+        line = F.get_json_object(F.try_element_at(members, F.lit("Geometry")), "$.LineString")
+        return F.struct(
+            F.filter(children, lambda c: c["json"].startswith("{") | c["json"].startswith("[")).alias("below"),
+            F.when(line.rlike(r"^\[\s*[^\s\]]"), node(F.concat(n["path"], F.array(F.lit(-1))), line)).alias("line"),
+        )
+
+    def step(acc):
+        each = F.transform(acc["open"], opened)
+        return let(
+            each,
+            lambda found: F.struct(
+                F.flatten(F.transform(found, lambda x: x["below"])).alias("open"),
+                F.concat(acc["lines"], F.array_compact(F.transform(found, lambda x: x["line"]))).alias("lines"),
+            ),
+        )
+
+    # A level takes a bracket; those of bare points hold no level below them.
+    brackets = F.regexp_replace(F.regexp_replace(json, r"\[[-+0-9.eE,\s]*\]", ""), r"[^\[{]", "")
+    none = F.array().cast(_NODES)
+    start = F.struct(F.array(node(F.array().cast("array<int>"), json)).alias("open"), none.alias("lines"))
+    levels = F.sequence(F.lit(0), F.length(brackets))
+    walked = F.aggregate(levels, start, lambda acc, _: F.when(F.size(acc["open"]) > 0, step(acc)).otherwise(acc), lambda acc: acc["lines"])
+    return F.transform(F.array_sort(walked), lambda n: n["json"])
 
 
 def route_points(raw: DataFrame, content: str = "content", keep: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """(doc, points, distance_m, duration_s, ok) of route answers; consecutive repeats
-    dropped, also across legs; distance and duration of the route, else of a leg."""
-    first = F.get(F.from_json(F.col(content), ROUTE_DDL)["Routes"], F.lit(0))
+    """(doc, points, distance_m, duration_s, ok) of route answers: the points of every
+    geometry of the first route, wherever it lies; consecutive repeats dropped, also across
+    geometries; distance and duration of the route, else of a leg."""
 
-    def read(r):
-        legs = F.coalesce(r["Legs"], F.array().cast("array<struct<Geometry:struct<LineString:array<array<double>>>,VehicleLegDetails:struct<Summary:struct<Overview:struct<Distance:double,Duration:double>>>>>"))
-        lines = F.transform(legs, lambda leg: F.coalesce(leg["Geometry"]["LineString"], F.array().cast("array<array<double>>")))
+    def read(v):
+        lines = F.transform(_line_strings(v["json"]), lambda t: F.coalesce(F.from_json(t, "array<array<double>>"), F.array().cast("array<array<double>>")))
         valid = F.filter(F.flatten(lines), lambda p: F.size(p) >= 2)
         points = F.transform(valid, lambda p: geo.pt(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
         kept = let(points, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (p != F.get(ps, i - 1))))
 
         def of_legs(name):
-            values = F.transform(legs, lambda leg: leg["VehicleLegDetails"]["Summary"]["Overview"][name])
-            return F.coalesce(r["Summary"][name], F.get(F.array_compact(values), F.lit(0)))
+            values = F.transform(v["route"]["Legs"], lambda leg: leg["VehicleLegDetails"]["Summary"]["Overview"][name])
+            return F.coalesce(v["route"]["Summary"][name], F.get(F.array_compact(values), F.lit(0)))
 
         return F.struct(kept.alias("points"), of_legs("Distance").alias("distance_m"), of_legs("Duration").alias("duration_s"))
 
-    rows = raw.select(*keep, let(first, read).alias("_r")).select(*keep, "_r.*")
+    first = F.get_json_object(F.col(content), "$.Routes[0]")
+    found = let(first, lambda t: let_all(read, json=t, route=F.from_json(t, ROUTE_DDL)))
+    rows = raw.select(*keep, found.alias("_r")).select(*keep, "_r.*")
     return rows.withColumn("ok", F.coalesce(F.size("points") >= 2, F.lit(False)))
 
 

@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from .. import schemas
 from ..functions import geo, money
 from ..functions.rounding import round_half_even
 from ..operators import traces
-from ..operators.findings import union_findings
 from ..plans import wording
 from ..plans.bill import Audit, BillCase
-
-PARTITIONED = ("bills", "drains", "trips", "photos", "points")
-_SCHEMAS = {
-    "bills": schemas.BILLS, "drains": schemas.DRAINS, "trips": schemas.TRIPS, "photos": schemas.PHOTOS, "slips": schemas.SLIPS,
-    "trace_items": schemas.TRACE_ITEMS, "points": schemas.POINTS, "vehicles": schemas.VEHICLES, "sites": schemas.SITES,
-}
+from . import runs
 
 
 # --------------------------------------------------------------- assembly
@@ -52,20 +47,65 @@ def assemble_bill(features: DataFrame, trips: DataFrame, header: DataFrame) -> d
 
 
 # ----------------------------------------------------------------- loading
-def save_case(case: BillCase, root: str) -> None:
-    """Evidence tables as Parquet, those of a bill partitioned by it."""
-    for field in fields(BillCase):
-        frame = getattr(case, field.name)
-        writer = frame.write.mode("overwrite")
-        if field.name in PARTITIONED:
-            writer = writer.partitionBy("bill_id")
-        writer.parquet(f"{root}/{field.name}")
-
-
-def load_case(spark: SparkSession, root: str, bill_id: str | None = None) -> BillCase:
-    """Every evidence table, of one bill (partitions pruned) or of all."""
-    case = BillCase(**{name: spark.read.schema(ddl).parquet(f"{root}/{name}") for name, ddl in _SCHEMAS.items()})
-    return case if bill_id is None else case.only(bill_id)
+#: Where the whole registries lie; their other buckets hold what the bucket's bills refer to.
+WHOLE = -1
+
+
+def _of_bills(case: BillCase) -> dict[str, DataFrame]:
+    """Every evidence table with the bill that its rows belong to. A slip, trace item,
+    vehicle or site occurs once for each bill that refers to it."""
+    trips = case.trips
+
+    def owned(table, key, owners, name):
+        if "bill_id" in table.columns:
+            return table
+        pairs = owners.select("bill_id", F.col(name).alias(key)).where(F.col(key).isNotNull()).distinct()
+        return table.join(pairs, key, "left")
+
+    return {
+        **{f.name: getattr(case, f.name) for f in fields(BillCase)},
+        "slips": owned(case.slips, "s3_key", trips, "slip_key"),
+        "trace_items": owned(case.trace_items, "s3_key", trips, "trace_key"),
+        "vehicles": owned(case.vehicles, "vehicle_no", trips, "vehicle_no").where(F.col("bill_id").isNotNull()),
+        "sites": owned(case.sites, "site_id", case.bills, "site_id").where(F.col("bill_id").isNotNull()),
+    }
+
+
+def save_case(case: BillCase, root: str, buckets: int = runs.BUCKETS) -> None:
+    """The nine evidence tables as Parquet, dealt to ``buckets`` by the hash of their bill, so
+    that the work on a few bills opens a few buckets of every table. Registries (vehicles,
+    sites) lie there whole, and once more by the bills that refer to them."""
+    whole, layout = {"vehicles": case.vehicles, "sites": case.sites}, []
+    for name, frame in _of_bills(case).items():
+        dealt = frame.withColumn("bucket", runs.bucket_of(F.col("bill_id"), buckets))
+        if name in whole:
+            dealt = dealt.dropDuplicates(["bucket", dealt.columns[0]]).drop("bill_id")
+            dealt = dealt.unionByName(whole[name].withColumn("bucket", F.lit(WHOLE)))
+        runs.spread(dealt).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{name}")
+        layout.append((name, dealt.drop("bucket").schema.json(), buckets))
+    spark = case.bills.sparkSession
+    spark.createDataFrame(layout, "name string, fields string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{root}/layout")
+
+
+def load_case(spark: SparkSession, root: str, bill_id=None, touched: DataFrame | None = None) -> BillCase:
+    """Every evidence table, of all bills, of one, or of the ``touched`` ones (bill_id). Of one
+    or some bills only their buckets are opened, of each of the nine tables; their numbers, at
+    most as many as there are buckets, are all that the driver sees."""
+    layout = spark.read.parquet(f"{root}/layout").collect()  # one row a table
+    schemas_ = {r.name: StructType.fromJson(json.loads(r.fields)).add("bucket", IntegerType()) for r in layout}
+    frames = {name: spark.read.schema(schema).parquet(f"{root}/{name}") for name, schema in schemas_.items()}
+    registries = ("vehicles", "sites")
+    if bill_id is None and touched is None:
+        return BillCase(**{n: (df.where(F.col("bucket") == WHOLE) if n in registries else df).drop("bucket") for n, df in frames.items()})
+    buckets = layout[0].buckets
+    if touched is None:
+        where = F.col("bucket") == runs.bucket_of(F.lit(str(bill_id)), buckets)
+        return BillCase(**{n: df.where(where).drop("bucket") for n, df in frames.items()}).only(bill_id)
+    numbers = touched.select(runs.bucket_of(F.col("bill_id"), buckets).alias("b")).distinct().collect()
+    where = F.col("bucket").isin([r.b for r in numbers])
+    cut = {n: df.where(where).drop("bucket") for n, df in frames.items()}
+    some = {n: df.join(touched.select("bill_id"), "bill_id", "left_semi") if "bill_id" in df.columns else df.dropDuplicates([df.columns[0]]) for n, df in cut.items()}
+    return BillCase(**some)
 
 
 # ---------------------------------------------------------- ingest control
@@ -101,80 +141,53 @@ def split_failures(df: DataFrame, error: str = "error") -> tuple[DataFrame, Data
 
 
 # ------------------------------------------------------------------- sinks
-#: What a real row of a verdict table has; a row without it only says that its bill was audited.
-_OWN_COLUMN = {"findings": "rule", "trips": "trip_id", "drains": "drain_id"}
-
-
-def write_verdicts(audit: Audit, path: str) -> None:
-    """Findings, trips, drains, summaries and gaps, partitioned by bill. Only the partitions
-    of the audited bills are replaced, so a repeated run leaves the same tables. Every
-    audited bill has a marker row in each table that may hold nothing else for it: what a
-    bill no longer has disappears. ``read_verdicts`` leaves the markers out."""
-    audited = audit.case.bills.select("bill_id").distinct()
-    for name, frame in (
-        ("findings", audit.findings), ("trips", audit.trips), ("drains", audit.drains), ("summary", audit.summary), ("gaps", audit.gaps),
-    ):
-        if name in _OWN_COLUMN:
-            frame = frame.unionByName(audited, allowMissingColumns=True)
-        (
-            frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bill_id")
-            .parquet(f"{path}/{name}")
-        )
-
+def write_verdicts(audit: Audit, path: str) -> str:
+    """Findings, trips, drains, summaries and gaps of the audited bills, published as a run:
+    they replace those bills and no others, and what a bill no longer has is gone."""
+    found = {"findings": audit.findings, "trips": audit.trips, "drains": audit.drains, "summary": audit.summary, "gaps": audit.gaps}
+    return runs.publish(found, audit.case.bills, path)
 
-def read_verdicts(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One of the tables of ``write_verdicts``."""
-    rows = spark.read.parquet(f"{path}/{name}")
-    return rows.where(F.col(_OWN_COLUMN[name]).isNotNull()) if name in _OWN_COLUMN else rows
 
+def read_verdicts(spark: SparkSession, path: str, name: str, bill_id=None) -> DataFrame:
+    """One of the tables of ``write_verdicts``, of all bills or of one."""
+    return runs.read(spark, path, name, bill_id)
 
-PART_SIZE = 2000
 
-
-def _in_parts(df: DataFrame, keys: list[str], id_col: str, name: str, item: Column, size: int) -> DataFrame:
-    """``item`` gathered per key into arrays of about ``size``: a large key's rows are
-    spread over numbered parts by hash, so no array grows with its key."""
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_parts"))
-    placed = df.join(counts, keys).withColumn("part", F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int"))
-    return placed.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(item)).alias(name))
-
-
-def case_documents(audit: Audit, route_limit: int = 60, part_size: int = PART_SIZE) -> DataFrame:
-    """A nested document per drain: its row and claimed route, photos, trips with slip
-    and thinned route, and findings. A drain with many trips continues in parts 1, 2, …"""
+def case_documents(audit: Audit, route_limit: int = 60) -> dict[str, DataFrame]:
+    """Documents of a bill, its drains and all that belongs to a drain: ``bills`` (header, totals and
+    what is missing), ``drains`` (row, claimed route and the numbers of trips, photos and
+    findings), ``trips`` (with slip, thinned route, length and own findings), ``photos`` and
+    ``findings``. The layout is the same for a drain of any size: no document grows
+    with the number of others."""
     case = audit.case
     keys = ["bill_id", "drain_id"]
     routes = traces.thin_route(traces.with_times(case.points), limit=route_limit)
     lengths = traces.trace_quality(case.points).select("bill_id", "trace_key", round_half_even(F.col("distance_m"), 1).alias("distance_m"))
-    slips = case.slips.select(F.col("s3_key").alias("slip_key"), F.struct(*case.slips.columns).alias("slip"))
+    slip_bill = [c for c in case.slips.columns if c == "bill_id"]
+    slips = case.slips.select(*slip_bill, F.col("s3_key").alias("slip_key"), F.struct(*[c for c in case.slips.columns if c != "bill_id"]).alias("slip"))
     own = audit.trip_findings.groupBy(*keys, "trip_id").agg(
         # At most two findings per rule, so a trip's list is short.
         F.array_sort(F.collect_list(F.struct("pos", "rule", "severity", "message"))).alias("findings")
     )
     trips = (
         case.trips.join(audit.trips.select(*keys, "trip_id", "verdict", "hard_fails", "soft_fails"), [*keys, "trip_id"], "left")
-        .join(slips, "slip_key", "left")
+        .join(slips, [*slip_bill, "slip_key"], "left")
         .join(routes, ["bill_id", "trace_key"], "left")
         .join(lengths, ["bill_id", "trace_key"], "left")
         .join(own, [*keys, "trip_id"], "left")
+    ).select(
+        *keys, "trip_no", "trip_id", "vehicle_no", "claimed_tonnes", "verdict", "hard_fails", "soft_fails", "slip", "route", "distance_m", "findings"
     )
-    trip = F.struct(
-        "trip_no", "trip_id", "vehicle_no", "claimed_tonnes", "verdict", "hard_fails", "soft_fails", "slip", "route", "distance_m", "findings"
-    )
-    photo = F.struct("role", "s3_key", "status", "lat", "lon", "timestamp", "p_hash")
-    found = audit.drain_findings.withColumn("_id", F.concat_ws("|", "rule", "message"))
-    head = audit.drains.join(claimed_route(case), keys, "left")
-    row = F.struct(*[c for c in head.columns if c not in keys])
-    pieces = [
-        head.select(*keys, F.lit(0).alias("part"), row.alias("drain")),
-        _in_parts(trips, keys, "trip_id", "trips", trip, part_size),
-        _in_parts(case.photos, keys, "s3_key", "photos", photo, part_size),
-        _in_parts(found, keys, "_id", "findings", F.struct("rule", "severity", "message"), part_size),
-    ]
-    together = union_findings(*pieces)
-    return together.groupBy(*keys, "part").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("drain", "trips", "photos", "findings")]
-    )
+    photos = case.photos.select(*keys, "role", "s3_key", "status", "lat", "lon", "timestamp", "p_hash")
+    found = audit.drain_findings.select(*keys, "rule", "severity", "message")
+    drains = audit.drains.join(claimed_route(case), keys, "left")
+    for name, df in (("n_trips", case.trips), ("n_photos", case.photos), ("n_findings", found)):
+        drains = drains.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys, "left")
+    drains = drains.na.fill(0, ["n_trips", "n_photos", "n_findings"])
+    header = case.bills.select("bill_id", "contractor", "ward", "window_start", "window_end", "site_id") if "contractor" in case.bills.columns else case.bills.select("bill_id")
+    gaps = audit.gaps.select("bill_id", F.struct(*[c for c in audit.gaps.columns if c != "bill_id"]).alias("missing_evidence"))
+    bills = header.join(audit.summary, "bill_id").join(gaps, "bill_id", "left").withColumn("status", F.lit("VERIFIED"))
+    return {"bills": bills, "drains": drains, "trips": trips, "photos": photos, "findings": found}
 
 
 def claimed_route(case: BillCase) -> DataFrame:
@@ -193,7 +206,7 @@ def claimed_route(case: BillCase) -> DataFrame:
     )
 
 
-def export_cases(audit: Audit, path: str) -> None:
-    """A JSON document per drain and one per bill, partitioned by bill."""
-    case_documents(audit).write.mode("overwrite").partitionBy("bill_id").json(f"{path}/drains")
-    audit.summary.write.mode("overwrite").partitionBy("bill_id").json(f"{path}/bills")
+def export_cases(audit: Audit, path: str) -> str:
+    """The documents of the audited bills as JSON, published as a run: an export of one bill
+    leaves all others."""
+    return runs.publish(case_documents(audit), audit.case.bills, path, kind="json")

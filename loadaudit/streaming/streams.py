@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import clock
 from ..operators import control, photos as reuse, traces
 from ..operators.ordered import neighbours
+from ..plans.staging import stage
 from ..sources.files import key_fields
 
 
@@ -140,29 +141,18 @@ def stream_states(log: DataFrame, path: str, checkpoint: str, order: str = "n",
     return reevaluate(log, ["item_id"], evaluate, path, checkpoint, once=once)
 
 
-def stream_verify(changes: DataFrame, load: Callable[[SparkSession], object], write: Callable[[object, DataFrame], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Changed evidence (bill_id) re-verifies exactly the touched bills: ``load`` gives
-    the tables, ``write`` audits the tables of those bills and replaces their partitions."""
+def stream_verify(changes: DataFrame, load: Callable[[SparkSession, DataFrame], object], write: Callable[[object], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Changed evidence (bill_id) re-verifies exactly the touched bills: ``load`` gives the
+    evidence of those bills (``tables.load_case(spark, root, touched=…)`` opens their buckets
+    alone), ``write`` audits it and publishes the result, which replaces those bills."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("bill_id").distinct()
-        write(load(batch.sparkSession), touched)
+        touched = stage(batch.select("bill_id").distinct(), "touched")
+        write(load(batch.sparkSession, touched))
 
     return _start(changes, checkpoint, each, "append", once)
 
 
-def touched_case(case, touched: DataFrame):
-    """The case cut to the touched bills, by semi-joins that prune bill partitions."""
-    from dataclasses import fields
-
-    from ..plans.bill import BillCase
-
-    def cut(df):
-        return df.join(touched, "bill_id", "left_semi") if "bill_id" in df.columns else df
-
-    return BillCase(**{f.name: cut(getattr(case, f.name)) for f in fields(case)})
-
-
 def typed_points(points: DataFrame) -> DataFrame:
     """Adds ``ts`` from ISO text so that event-time operators can use it."""
     parts = clock.iso_parts(F.col("t"))
