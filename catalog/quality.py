@@ -9,6 +9,7 @@ from loadaudit.plans.details import validate_details
 from loadaudit.plans.fixturemap import FIXTURE_LIMITS, Fixture
 from loadaudit.plans.staging import stage
 from loadaudit.sources import tables
+from loadaudit.sources.files import key_fields
 from loadaudit.streaming import streams
 
 from . import sqlviews
@@ -404,7 +405,8 @@ class _Streamed(Fixture):
 
 
 @query("str_01_ingest", """
-SELECT kind, count(*) AS n FROM (SELECT DISTINCT event_type, user_id % 40 AS u, CASE event_type WHEN 'click' THEN 'PHOTO' WHEN 'view' THEN 'SLIP' WHEN 'error' THEN 'TRACE' END AS kind FROM events) WHERE kind IS NOT NULL GROUP BY ALL""")
+SELECT kind, CASE WHEN kind = 'PHOTO' AND u % 10 = 7 THEN 'ERROR' ELSE 'OK' END AS status, count(*) AS n
+FROM (SELECT DISTINCT event_type, user_id % 40 AS u, CASE event_type WHEN 'click' THEN 'PHOTO' WHEN 'view' THEN 'SLIP' WHEN 'error' THEN 'TRACE' END AS kind FROM events) WHERE kind IS NOT NULL GROUP BY ALL""")
 def str_01(spark, d):
     """Events as arriving objects: one content per type and forty keys, so most repeat."""
     u, e = (F.col("user_id") % 40).cast("string"), F.col("event_type")
@@ -414,9 +416,10 @@ def str_01(spark, d):
     )
     objects = _Streamed(spark, d).table("events").select(key.alias("key"), F.lit("v1").alias("etag"), F.col("ts").cast("timestamp").alias("ts"))
     path = _fresh(spark, "arrivals")
-    streams.stream_ingest(objects, f"{path}/objects", f"{path}/checkpoint", "400 days", once=True).awaitTermination()
-    latest = streams.newest(spark.read.parquet(f"{path}/objects"), ["key"])
-    return latest.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    read = lambda arrived: arrived.withColumn("error", F.when(F.col("key").endswith("7.jpg"), F.lit("unreadable")))
+    streams.stream_ingest(objects, read, f"{path}/items", f"{path}/checkpoint", once=True).awaitTermination()
+    items = key_fields(streams.current_items(spark, f"{path}/items"))
+    return items.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _timed(points):
@@ -428,10 +431,8 @@ SELECT bill_id, trace_key, count(*) AS gaps, round(sum(g), 3) AS dark_s FROM (SE
 def str_02(spark, d):
     path = _fresh(spark, "gaps")
     points = _timed(_Streamed(spark, d).points)
-    streams.stream_gaps(points, f"{path}/runs", f"{path}/checkpoint", 43200, "1 hour", "complete", once=True).awaitTermination()
-    runs = spark.read.parquet(f"{path}/runs")
-    last = runs.agg(F.max("batch_id").alias("batch_id"))
-    gaps = streams.gaps_of(runs.join(last, "batch_id", "left_semi"))
+    streams.stream_gaps(points, f"{path}/runs", f"{path}/checkpoint", 43200, 3600, once=True).awaitTermination()
+    gaps = streams.gaps_of(streams.current_runs(spark, f"{path}/runs", 43200))
     return gaps.groupBy("bill_id", "trace_key").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.sum("gap_s"), 3).alias("dark_s"))
 
 
@@ -440,7 +441,7 @@ def str_03(spark, d):
     fx, path = Fixture(spark, d), _fresh(spark, "entries")
     points = _timed(_Streamed(spark, d).points)
     streams.stream_arrivals(points, bill.bill_sites(fx.bills, fx.sites), f"{path}/facts", f"{path}/checkpoint", once=True).awaitTermination()
-    out = streams.newest(spark.read.parquet(f"{path}/facts"), ["bill_id", "trace_key"])
+    out = streams.current_arrivals(spark, f"{path}/facts")
     return out.select("bill_id", "trace_key", F.unix_micros("inside_ts").alias("inside_us"), F.unix_micros("last_ts").alias("last_us"), "n")
 
 
@@ -462,8 +463,8 @@ SELECT v AS vehicle_no, leg AS leg_id, nxt AS other, round(minutes, 3) AS minute
 WHERE nxt IS NOT NULL AND CASE WHEN minutes <= 0 THEN true ELSE {sqlviews.haversine("x1", "19.0::DOUBLE", "x0", "19.0::DOUBLE")} / 1000 / (minutes / 60) > 0.5 END""")
 def str_04(spark, d):
     path = _fresh(spark, "turnaround")
-    streams.stream_turnaround(order_legs(_Streamed(spark, d)), path, f"{path}/checkpoint", 0.5, once=True).awaitTermination()
-    out = streams.current_results(spark, path, ["bill_id", "vehicle_no"])
+    streams.stream_turnaround(order_legs(_Streamed(spark, d)), path, f"{path}/checkpoint", once=True).awaitTermination()
+    out = streams.current_turnaround(spark, path, 0.5)
     return out.select("vehicle_no", "leg_id", "other", F.round("minutes", 3).alias("minutes"), F.round("km", 4).alias("km"))
 
 
@@ -471,8 +472,9 @@ def str_04(spark, d):
 def str_05(spark, d):
     path = _fresh(spark, "reuse")
     photos = _Streamed(spark, d).photos.select("bill_id", "drain_id", "s3_key", "timestamp", "p_hash")
-    streams.stream_reuse(photos, path, f"{path}/checkpoint", 20, once=True, hashes_per_group=200).awaitTermination()
-    out = streams.current_results(spark, path, ["bill_id"])
+    for running in streams.stream_reuse(photos, path, f"{path}/checkpoint", 20, bands=5, once=True):
+        running.awaitTermination()
+    out = streams.current_reuse(spark, path)
     return out.select(F.col("bill_id").cast("string").alias("bill_id"), "s3_key", "original", "distance")
 
 

@@ -60,8 +60,17 @@ def near_hashes(hashes: DataFrame, keys: list[str], max_bits: int = MAX_BITS, ba
     base = hashes.select(*keys, "hash").where(hashing.is_hex(F.col("hash"))).distinct()
     if not bands:
         bands = choose_bands(max_bits, measured_group(base, keys) if hashes_per_group is None else hashes_per_group)
+    return meeting(base, base, keys, max_bits, bands).distinct().unionAll(base.select(*keys, "hash", F.col("hash").alias("other")))
+
+
+def meeting(hashes: DataFrame, others: DataFrame, keys: list[str], max_bits: int, bands: int) -> DataFrame:
+    """Pairs (keys, hash, other) of two tables of distinct hashes, without a hash and itself,
+    that are within ``max_bits``. Each pair comes from the first band where it meets, once for
+    each way of meeting there. A plain equi-join, so the tables may also be streams."""
     radius = max_bits // bands
-    base = base.withColumn("_bits", hashing.hash_bits(F.col("hash"))).withColumn("_len", F.length("hash"))
+
+    def base(df):
+        return df.select(*keys, "hash", hashing.hash_bits(F.col("hash")).alias("_bits"), F.length("hash").alias("_len"))
 
     def probes(share: int):
         def varied(band, low, width):
@@ -74,12 +83,9 @@ def near_hashes(hashes: DataFrame, keys: list[str], max_bits: int = MAX_BITS, ba
         widths = _widths(bands)
         return F.explode(F.concat(*[varied(i, sum(widths[:i]), w) for i, w in enumerate(widths)]))
 
-    left = base.select(*keys, "_len", "hash", "_bits", probes((radius + 1) // 2).alias("_probe"))
-    right = base.select(
-        *keys, "_len", F.col("hash").alias("other"), F.col("_bits").alias("_other_bits"),
-        probes(radius // 2).alias("_probe"),
-    )
+    left = base(hashes).select(*keys, "_len", "hash", "_bits", probes((radius + 1) // 2).alias("_probe"))
     left = left.select(*keys, "_len", "hash", "_bits", "_probe.*")
+    right = base(others).select(*keys, "_len", F.col("hash").alias("other"), F.col("_bits").alias("_other_bits"), probes(radius // 2).alias("_probe"))
     right = right.select(*keys, "_len", "other", "_other_bits", "_probe.*")
     # The 64-bit test discards nearly every candidate before the full comparison.
     apart = F.col("_bits").bitwiseXOR(F.col("_other_bits"))
@@ -90,8 +96,7 @@ def near_hashes(hashes: DataFrame, keys: list[str], max_bits: int = MAX_BITS, ba
     ]
     first = F.col("band") == F.coalesce(*meets)
     full = (F.col("_len") <= 16) | (hashing.hamming_hex(F.col("hash"), F.col("other")) <= max_bits)
-    others = left.join(right, [*keys, "_len", "band", "value"]).where(close & first & full).select(*keys, "hash", "other").distinct()
-    return others.unionAll(base.select(*keys, "hash", F.col("hash").alias("other")))
+    return left.join(right, [*keys, "_len", "band", "value"]).where(close & first & full).select(*keys, "hash", "other")
 
 
 def first_originals(photos: DataFrame, keys=("bill_id",), key_col: str = "s3_key", owner_col: str | None = "drain_id",
@@ -103,26 +108,35 @@ def first_originals(photos: DataFrame, keys=("bill_id",), key_col: str = "s3_key
     it depends on the hash alone and copies never multiply the work. The original
     may itself be a copy of something else."""
     keys = list(keys)
+    usable = _usable(photos, keys, key_col, owner_col)
+    # One row per distinct hash before anything is compared.
+    pairs = near_hashes(usable, keys, max_bits, bands, hashes_per_group)
+    return originals(photos, keys, pairs, key_col, owner_col)
+
+
+def _usable(photos: DataFrame, keys: list[str], key_col: str, owner_col: str | None) -> DataFrame:
     owner = F.col(owner_col) if owner_col else F.lit(None).cast("string")
-    usable = photos.where(hashing.is_hex(F.col("p_hash"))).select(
+    return photos.where(hashing.is_hex(F.col("p_hash"))).select(
         *keys,
         F.col(key_col),
         F.col("p_hash").alias("hash"),
         F.coalesce(F.col("timestamp").cast("string"), F.lit("")).alias("_ts"),
         owner.alias("_owner"),
     )
-    # One row per distinct hash before anything is compared.
+
+
+def originals(photos: DataFrame, keys: list[str], pairs: DataFrame, key_col: str = "s3_key", owner_col: str | None = "drain_id") -> DataFrame:
+    """As ``first_originals``, from known ``pairs`` (keys, hash, other) of near hashes; a hash and
+    itself need not be among them, and a pair may be there more than once."""
+    usable = _usable(photos, keys, key_col, owner_col)
     order = F.struct(F.col("_ts").alias("ts"), F.coalesce(F.col(key_col), F.lit("")).alias("key"))
     firsts = usable.groupBy(*keys, "hash").agg(
         F.min(F.struct(order.alias("at"), F.col("_owner").alias("owner"))).alias("_first")
     )
-    pairs = near_hashes(firsts, keys, max_bits, bands, hashes_per_group)
+    own = firsts.select(*keys, "hash", F.col("hash").alias("other"), "_first")
     candidate = firsts.select(*keys, F.col("hash").alias("other"), "_first")
-    best = (
-        pairs.join(candidate, [*keys, "other"])
-        .groupBy(*keys, "hash")
-        .agg(F.min(F.struct("_first.at", "_first.owner", "other")).alias("_best"))
-    )
+    near = pairs.where(F.col("hash") != F.col("other")).join(candidate, [*keys, "other"]).select(*keys, "hash", "other", "_first")
+    best = near.unionByName(own).groupBy(*keys, "hash").agg(F.min(F.struct("_first.at", "_first.owner", "other")).alias("_best"))
     return (
         usable.join(best, [*keys, "hash"])
         .where(F.col("_best.at") < order)

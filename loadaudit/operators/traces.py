@@ -223,6 +223,18 @@ def points_bbox(points: DataFrame, keys=TRACE_KEYS, margin_m: float = 0.0) -> Da
 LEG_BUCKET_US = 7 * 86_400_000_000
 
 
+def timed_legs(legs: DataFrame, keys=("bill_id", "vehicle_no"), id_col: str = "trip_id") -> DataFrame:
+    """Legs with a readable start and end: leg_id, start_us, end_us, from_point, to_point."""
+    return legs.where(F.col("departure").isNotNull() & F.col("last_fix").isNotNull()).select(
+        *keys,
+        F.col(id_col).alias("leg_id"),
+        F.col("departure.epoch_us").alias("start_us"),
+        F.col("last_fix.epoch_us").alias("end_us"),
+        F.col("first_point").alias("from_point"),
+        F.col("last_point").alias("to_point"),
+    )
+
+
 def truck_legs(legs: DataFrame, keys=("bill_id", "vehicle_no"), id_col: str = "trip_id",
                bucket_us: int = LEG_BUCKET_US) -> DataFrame:
     """Each leg with the one before and after it on the same truck, by start time.
@@ -231,16 +243,8 @@ def truck_legs(legs: DataFrame, keys=("bill_id", "vehicle_no"), id_col: str = "t
     ``last_point``; legs without a readable start or end drop out. Adds
     ``before`` and ``after`` structs: the other leg, minutes and km between, and
     the speed needed (infinite for an overlap)."""
-    usable = legs.where(F.col("departure").isNotNull() & F.col("last_fix").isNotNull()).select(
-        *keys,
-        F.col(id_col).alias("leg_id"),
-        F.col("departure.epoch_us").alias("start_us"),
-        F.col("last_fix.epoch_us").alias("end_us"),
-        F.col("first_point").alias("from_point"),
-        F.col("last_point").alias("to_point"),
-    )
     near = neighbours(
-        usable,
+        timed_legs(legs, keys, id_col),
         list(keys),
         ["start_us", "leg_id"],
         F.floor(F.col("start_us") / F.lit(bucket_us)),
@@ -250,12 +254,12 @@ def truck_legs(legs: DataFrame, keys=("bill_id", "vehicle_no"), id_col: str = "t
     return near.select(
         *keys,
         "leg_id",
-        _between(F.col("prev"), here, F.col("prev")).alias("before"),
-        _between(here, F.col("next"), F.col("next")).alias("after"),
+        between(F.col("prev"), here, F.col("prev")).alias("before"),
+        between(here, F.col("next"), F.col("next")).alias("after"),
     )
 
 
-def _between(first: Column, second: Column, other: Column) -> Column:
+def between(first: Column, second: Column, other: Column) -> Column:
     minutes = (second["start_us"] - first["end_us"]) / F.lit(60_000_000.0)
     km = geo.metres_between(first["to_point"], second["from_point"]) / 1000
     speed = F.when(minutes <= 0, F.lit(float("inf"))).otherwise(km / (minutes / 60))
