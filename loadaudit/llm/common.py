@@ -69,15 +69,25 @@ def on_row(left: DataFrame, right: DataFrame):
     return left[ID].eqNullSafe(right[ID]) & (left[ROW] == right[ROW])
 
 
+def unused(names: list[str], name: str) -> str:
+    """``name``, or with as many underscores before it as no column of ``names`` has."""
+    while name.lower() in {n.lower() for n in names}:
+        name = f"_{name}"
+    return name
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = ID, text_col: str = TEXT, once: bool = False) -> DataFrame:
-    """Rows of ``docs``, all columns, whose id and row hash are in ``kept``. ``once``: of
-    rows that share both, one stays."""
-    marked = docs.withColumn("__row", F.xxhash64(text_col, id_col))
-    right = kept.select(F.col(ID).alias("__id"), F.col(ROW).alias("__kept"))
-    out = marked.join(right, marked[id_col].eqNullSafe(right["__id"]) & (marked["__row"] == right["__kept"]), "left_semi")
+    """Rows of ``docs``, all columns, whose id and row hash are in ``kept``; column names may
+    be any. ``once``: of rows that share both, the one stays whose whole row has
+    the least hash."""
+    quoted = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    row, whole, own, mark = (unused(docs.columns, n) for n in ("row_hash", "whole_row", "kept_id", "kept_hash"))
+    one = docs.select(F.struct(*quoted).alias(whole), F.col(id_col).alias(own), F.xxhash64(text_col, id_col).alias(row))
+    right = kept.select(F.col(ID).alias("_right"), F.col(ROW).alias(mark))
+    out = one.join(right, one[own].eqNullSafe(right["_right"]) & (one[row] == right[mark]), "left_semi")
     if once:
-        out = out.dropDuplicates([id_col, "__row"])
-    return out.select(*docs.columns)
+        out = out.withColumn(mark, F.xxhash64(F.to_json(whole))).groupBy(own, row).agg(F.min_by(whole, mark).alias(whole))
+    return out.select(*[F.col(whole)[c].alias(c) for c in docs.columns])
 
 
 #: A key is frequent with more than one row in so many; so there are at most so many of them.

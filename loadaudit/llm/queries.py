@@ -122,15 +122,15 @@ FROM marked LEFT JOIN par_counts USING (doc_id) GROUP BY doc_id
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fold = lambda: F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    learned = language_id.dictionaries(docs, ~F.coalesce(fold(), F.lit(False)))
+    fold = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))  # noqa: E731  (no id: not held out)
+    learned = language_id.dictionaries(docs, ~fold())
     return language_id.predict(docs, learned).select("doc_id", fold().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 @query
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fold = lambda: F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    fold = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))  # noqa: E731  (no id: not held out)
     field = quality_crf.train(docs, table(spark, sf_dir, "labels"), ~fold())
     scored = quality_crf.score(docs, field)
     return scored.select("doc_id", fold().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_lines", "bad_lines")

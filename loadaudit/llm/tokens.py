@@ -29,7 +29,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of texts. Strings of special tokens in a text are ordinary text."""
+    """Ids of texts, as the library's plain call gives them: the string of a special token in
+    a text is that token."""
 
     def __init__(self, path: str):
         import os
@@ -38,7 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.bits = max(1, (size - 1).bit_length())
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -78,8 +79,23 @@ class Encoder:
             self._put(other, np.array([i for x in each for i in x], np.uint32), counts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, index of the first id of each and the end)."""
+        """(ids of all texts one after the other, index of the first id of each and the end).
+        A text that holds the string of a special token is encoded whole by the library."""
         texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for name in self.special:
+            whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._pieces(texts)
+        ids, at = self._pieces(pc.if_else(pa.array(~whole), texts, ""))
+        parts = np.split(ids, at[1:-1])
+        rows = np.flatnonzero(whole)
+        coded = self.tokenizer.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        for k, one in zip(rows.tolist(), coded, strict=True):
+            parts[k] = np.array(one.ids, np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _BREAK, r"\1 \2"))
         at = words.offsets.to_numpy().astype(np.int64)
         at -= at[0]

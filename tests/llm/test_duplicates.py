@@ -6,6 +6,7 @@ import re
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loadaudit.llm import common, decontaminate, license_scan, line_dedup, ngram_join, suffix_dedup
 from loadaudit.llm.graph import components
@@ -56,6 +57,19 @@ def test_odd_rows_of_the_join(odd, none):
     assert 1 in {r.doc_id for r in ngram_join.representatives(joined).collect()}
 
 
+def test_rows_keep_their_columns_of_any_name(spark):
+    names = ["doc_id", "text", "__row", "__id", "__kept", "a.b", "row_hash", "whole_row", "kept_id", "_kept_id", "KEPT_HASH", "_right", "_row", "`q`"]
+    rows = [(i // 2, "same", *[f"{n}{i}" for n in names[2:]]) for i in range(6)] + [(None, "none", *names[2:])]
+    quoted = ", ".join("`" + n.replace("`", "``") + "` " + ("bigint" if n == "doc_id" else "string") for n in names)
+    docs = spark.createDataFrame(rows, quoted)
+    kept = docs.where("doc_id = 1 OR doc_id IS NULL").select("doc_id", F.xxhash64("text", "doc_id").alias("_row"))
+    whole = common.keep_rows(docs, kept)
+    assert whole.columns == names and sorted(map(str, map(tuple, whole.collect()))) == sorted(str(r) for r in rows if r[0] in (1, None))
+    once = [tuple(r) for r in common.keep_rows(docs, kept, once=True).collect()]
+    assert len(once) == 2 and all(r in rows for r in once)
+    assert once == [tuple(r) for r in common.keep_rows(docs.orderBy(F.desc("`a.b`")), kept, once=True).collect()]
+
+
 def test_bands_reach_their_recall():
     for s in (0.2, 0.5, 0.8, 0.95):
         bands, rows = ngram_join.bands_for(s, 0.999)
