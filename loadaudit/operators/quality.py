@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, hashing
-from ..plans.staging import stage
 from .ordered import neighbours, range_buckets
 from .photos import near_hashes
 
@@ -132,83 +131,121 @@ def audit_hashes(photos: DataFrame, copies: DataFrame, max_bits: int = 12, unrel
 
 
 # ----------------------------------------------------------- nearest drain
-CELL_SIZES = (2.0, 0.05, 0.0025)
+#: Degrees of the finest cells, how many of them make the next level's side, and the number
+#: of levels: the coarsest cell is wider than the globe.
+CELL, FACTOR, LEVELS = 0.0025, 4, 10
+#: Metres of a degree of a great circle, a little less than any distance here takes.
+_LEAST_M_PER_DEG = 111_190.0
+
+
+def _sizes(cell: float) -> list[float]:
+    return [cell * FACTOR**k for k in range(LEVELS)]
+
+
+def _registered(pieces: DataFrame, box: Column, cell: float) -> DataFrame:
+    """A row for each cell that a piece's box meets, on its own level, the finest whose cells
+    are as wide as the box, and on all coarser ones: at most four cells a level. ``own`` marks
+    the piece's own level."""
+    extent = F.greatest(box["max_lon"] - box["min_lon"], box["max_lat"] - box["min_lat"])
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(s).alias("size")) for k, s in enumerate(_sizes(cell))])
+    fits = F.filter(levels, lambda l: (l["size"] >= extent) | (l["level"] == LEVELS - 1))
+    at = pieces.withColumn("_box", box).withColumn("_levels", fits).withColumn("_l", F.explode("_levels"))
+    size, b = F.col("_l.size"), F.col("_box")
+    return (
+        at.withColumn("x", F.explode(F.sequence(F.floor(b["min_lon"] / size), F.floor(b["max_lon"] / size))))
+        .withColumn("y", F.explode(F.sequence(F.floor(b["min_lat"] / size), F.floor(b["max_lat"] / size))))
+        .withColumns({"level": F.col("_l.level"), "own": F.col("_l.level") == LEVELS - F.size("_levels")})
+        .drop("_box", "_levels", "_l")
+    )
 
 
-def locate(points: DataFrame, drains: DataFrame, by: tuple[str, ...] = (), point_id: str = "point_id", cells=CELL_SIZES, stage=stage) -> DataFrame:
+def locate(points: DataFrame, drains: DataFrame, by: tuple[str, ...] = (), point_id: str = "point_id", cell: float = CELL) -> DataFrame:
     """(point_id, drain_id, distance_m): the first drain that contains the point, at 0 m,
     else the nearest centreline. ``points`` has lon and lat, ``drains`` a ``place`` (ties
     keep the lower), geofence and centreline; ``by`` columns must agree.
 
-    Exact without comparing every pair. From coarse to fine, each occupied cell keeps
-    the pieces that could matter to any of its points: fences whose box meets the cell,
-    and centreline segments within ``d + 2h`` of its centre, where ``d`` is the nearest
-    one's distance and ``h`` half the cell's diagonal. Only the few left at the finest
-    cell meet the points. The cell tables are small and staged per level."""
-    by = list(by)
+    Exact, by equi-joins on cells alone. An occupied cell looks, level by level, for the finest
+    one where its own or a neighbouring cell holds a centreline segment. That segment is no
+    more than ``3 * sqrt(2)`` cell widths away, so nothing beyond the rings of that radius can be
+    nearest: those rings, wider in longitude as meridians close up, give the candidates. Each of
+    two steps, at that level and at the finest, keeps those within ``d + 2h`` of the cell's centre,
+    ``d`` the nearest one's distance and ``h`` half the cell's diagonal. Fences are met where their box
+    is. Pieces of the same shape are one, that of the lowest place. Points of a crowded cell meet the
+    few pieces that are left."""
+    by, sizes = list(by), _sizes(cell)
     located = points.where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    fine = cells[-1]
-    index = {"ix": F.floor(F.col("lon") / fine), "iy": F.floor(F.col("lat") / fine)}
-    occupied = stage(located.select(*by, *[v.alias(k) for k, v in index.items()]).distinct(), "cells")
-
-    def at(coordinate: str, size: float):
-        """The cell of ``size`` that holds a finest cell's centre."""
-        return F.floor((F.col(coordinate) + 0.5) * fine / size)
+    located = located.select(*by, point_id, "lon", "lat", F.floor(F.col("lon") / cell).alias("ix"), F.floor(F.col("lat") / cell).alias("iy"))
+    occupied = located.select(*by, "ix", "iy").distinct()
+    who = F.min(F.struct("place", "drain_id")).alias("who")
 
     n = F.size("centreline")
     single = F.when(n == 1, F.concat("centreline", "centreline")).otherwise(F.col("centreline"))
     ends = F.arrays_zip(F.slice(single, F.lit(1), F.size(single) - 1).alias("a"), F.slice(single, F.lit(2), F.size(single) - 1).alias("b"))
-    segments = drains.where(n > 0).select(
-        *by, "drain_id", "place", F.explode(ends).alias("s"), (n == 1).alias("lone")
-    ).select(*by, "drain_id", "place", "lone", "s.a", "s.b")
-    fences = drains.where(F.size("geofence") > 0).select(
-        *by, "drain_id", "place", "geofence", geo.geometry_bbox(F.col("geofence")).alias("box")
-    )
-    pieces = segments.unionByName(fences, allowMissingColumns=True)
-    candidates, parent = pieces.select("*", F.lit(0).alias("px"), F.lit(0).alias("py")), None
-
-    def reach_m(p):
-        """Metres from a point to the piece's segment; null for a fence."""
+    segments = drains.where(n > 0).select(*by, "drain_id", "place", F.explode(ends).alias("s"), (n == 1).alias("lone"))
+    segments = segments.groupBy(*by, F.col("s.a").alias("a"), F.col("s.b").alias("b"), "lone").agg(who)
+    fences = drains.where(F.size("geofence") > 0).groupBy(*by, "geofence").agg(who).withColumn("box", geo.geometry_bbox(F.col("geofence")))
+    lines = _registered(segments, geo.line_bbox(F.array("a", "b")), cell)
+
+    def ancestor(c: str, level: Column) -> Column:
+        return F.floor(F.col(c) / F.pow(F.lit(float(FACTOR)), level))
+
+    up = occupied.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    up = up.withColumns({"x": ancestor("ix", F.col("level")), "y": ancestor("iy", F.col("level"))})
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = lines.select(*by, "level", "x", "y").distinct().withColumn("_o", F.explode(around))
+    near = near.select(*by, "level", (F.col("x") + F.col("_o.i")).alias("x"), (F.col("y") + F.col("_o.j")).alias("y")).distinct()
+    found = up.join(near, [*by, "level", "x", "y"], "left_semi").groupBy(*by, "ix", "iy").agg(F.min(F.struct("level", "x", "y")).alias("_f"))
+    found = found.select(*by, "ix", "iy", F.col("_f.level").alias("l"), F.col("_f.x").alias("cx"), F.col("_f.y").alias("cy"))
+
+    def size_of(level: Column) -> Column:
+        return F.lit(cell) * F.pow(F.lit(float(FACTOR)), level)
+
+    # The rings of every level that can hold a piece within reach of a cell.
+    s, t = size_of(F.col("l")), size_of(F.col("level"))
+    reach_deg = 3 * math.sqrt(2) * s * geo.M_PER_DEG_LAT / _LEAST_M_PER_DEG * (1 + 1e-9)
+    lat = F.least(F.abs((F.col("cy") + 0.5) * s) + s + reach_deg + t, F.lit(89.9))
+    rings_y = F.ceil(reach_deg / t)
+    rings_x = F.least(F.ceil(reach_deg / F.cos(F.radians(lat)) / t), F.ceil(F.lit(720.0) / t) + 1)
+    cells = found.select(*by, "l", "cx", "cy").distinct().withColumn("level", F.explode(F.sequence(F.col("l"), F.lit(LEVELS - 1))))
+    ratio = F.pow(F.lit(float(FACTOR)), F.col("level") - F.col("l"))
+    cells = cells.withColumns({"_x": F.floor(F.col("cx") / ratio), "_y": F.floor(F.col("cy") / ratio), "_rx": rings_x, "_ry": rings_y})
+    cells = cells.withColumn("x", F.explode(F.sequence(F.col("_x") - F.col("_rx"), F.col("_x") + F.col("_rx"))))
+    cells = cells.withColumn("y", F.explode(F.sequence(F.col("_y") - F.col("_ry"), F.col("_y") + F.col("_ry")))).drop("_x", "_y", "_rx", "_ry")
+
+    def distance(p: Column) -> Column:
         far = geo.metres_between(p, F.col("a"))
-        return F.when(F.col("a").isNotNull(), F.when(F.col("lone"), far).otherwise(geo.dist_to_segment_m(p, F.col("a"), F.col("b"))))
-
-    for level, size in enumerate(cells):
-        above = [F.lit(0), F.lit(0)] if parent is None else [at("ix", parent), at("iy", parent)]
-        here = occupied.select(
-            *by, above[0].alias("px"), above[1].alias("py"), at("ix", size).alias("cx"), at("iy", size).alias("cy")
-        ).distinct()
-        west, south = F.col("cx") * size, F.col("cy") * size
-        box = F.col("box")
-        over = (
-            (box["min_lon"] <= west + size + 1e-9) & (box["max_lon"] >= west - 1e-9)
-            & (box["min_lat"] <= south + size + 1e-9) & (box["max_lat"] >= south - 1e-9)
-        )
-        met = candidates.join(here, [*by, "px", "py"]).withColumn("_d", reach_m(geo.pt(west + size / 2, south + size / 2)))
-        met = stage(met.where(F.col("a").isNotNull() | over), f"near-{level}")
-        nearest = met.groupBy(*by, "cx", "cy").agg(F.min("_d").alias("_min"))
-        half = geo.M_PER_DEG_LAT * size / math.sqrt(2)
-        kept = met.join(nearest, [*by, "cx", "cy"]).where(F.col("_d").isNull() | (F.col("_d") <= F.col("_min") + 2 * half * (1 + 1e-9) + 1e-3))
-        candidates = kept.select(
-            *by, "drain_id", "place", "lone", "a", "b", "geofence", "box", F.col("cx").alias("px"), F.col("cy").alias("py")
-        )
-        parent = size
-    met = located.select(*by, point_id, "lon", "lat", at_point("lon", fine).alias("px"), at_point("lat", fine).alias("py")).join(
-        candidates, [*by, "px", "py"], "left"
+        return F.when(F.col("lone"), far).otherwise(geo.dist_to_segment_m(p, F.col("a"), F.col("b")))
+
+    def nearest(df: DataFrame, keys: list[str], size: Column) -> DataFrame:
+        """The pieces that may be nearest to some point of the cell that ``keys`` name."""
+        x, y = (F.col(k) for k in keys[-2:])
+        measured = df.withColumn("_d", distance(geo.pt((x + 0.5) * size, (y + 0.5) * size)))
+        least = F.min("_d").over(Window.partitionBy(*keys))
+        slack = geo.M_PER_DEG_LAT * size * math.sqrt(2) * (1 + 1e-9) + 1e-3
+        return measured.withColumn("_least", least).where(F.col("_d") <= F.col("_least") + slack).drop("_d", "_least")
+
+    met = cells.join(lines, [*by, "level", "x", "y"]).where(F.col("own") | (F.col("level") == F.col("l")))
+    shape = ["a", "b", "lone", "who"]
+    met = nearest(met.select(*by, "l", "cx", "cy", *shape).distinct(), [*by, "l", "cx", "cy"], size_of(F.col("l")))
+    fine = nearest(found.join(met, [*by, "l", "cx", "cy"]).select(*by, "ix", "iy", *shape), [*by, "ix", "iy"], F.lit(cell))
+
+    box, west, south = F.col("box"), F.col("ix") * cell, F.col("iy") * cell
+    over = (
+        (box["min_lon"] <= west + cell + 1e-9) & (box["max_lon"] >= west - 1e-9) & (box["min_lat"] <= south + cell + 1e-9) & (box["max_lat"] >= south - 1e-9)
     )
+    fenced = up.join(_registered(fences, F.col("box"), cell).where("own"), [*by, "level", "x", "y"]).where(over).select(*by, "ix", "iy", "geofence", "box", "who")
+    pieces = fine.unionByName(fenced, allowMissingColumns=True)
+
+    measured = located.join(pieces, [*by, "ix", "iy"], "left")
     inside = geo.in_fence(F.col("lon"), F.col("lat"), F.col("geofence"), F.col("box"))
-    d = F.when(F.col("geofence").isNotNull(), F.when(inside, F.lit(-1.0))).otherwise(reach_m(geo.pt(F.col("lon"), F.col("lat"))))
-    measured = met.select(*by, point_id, "drain_id", "place", d.alias("_d"))
-    ranked = F.when(F.col("_d").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("place").alias("place"), F.col("drain_id").alias("drain_id")))
-    best = measured.groupBy(*by, point_id).agg(F.min(ranked).alias("_b"))
+    d = F.when(F.col("geofence").isNotNull(), F.when(inside, F.lit(-1.0))).otherwise(distance(geo.pt(F.col("lon"), F.col("lat"))))
+    ranked = measured.select(*by, point_id, d.alias("d"), "who")
+    best = ranked.groupBy(*by, point_id).agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "who"))).alias("_b"))
     return best.select(
-        *by, point_id, F.col("_b.drain_id").alias("drain_id"), F.coalesce(F.greatest("_b.d", F.lit(0.0)), F.lit(float("inf"))).alias("distance_m")
+        *by, point_id, F.col("_b.who.drain_id").alias("drain_id"), F.when(F.col("_b.d").isNotNull(), F.greatest("_b.d", F.lit(0.0))).otherwise(F.lit(float("inf"))).alias("distance_m")
     )
 
 
-def at_point(coordinate: str, size: float):
-    return F.floor(F.col(coordinate) / size)
-
-
 def field_report(photos: DataFrame, drains: DataFrame, by: tuple[str, ...] = (), band_m: float = 60.0) -> tuple[DataFrame, DataFrame]:
     """(a row per file, counts): no camera tags, no GPS, outside every fence with its
     distance, in the soft band, the previous file with the identical hash.

@@ -178,6 +178,35 @@ def test_nearest_drain_equals_brute_force(spark):
     assert got == want
 
 
+def test_nearest_drain_anywhere_on_the_globe(spark):
+    """Long and short segments, equal shapes, high latitudes, far points; by group; no pair of
+    tables meets without a key."""
+    draw = random.Random(8)
+    drains = []
+    for i in range(60):
+        x, y, w = draw.uniform(-170, 170), draw.uniform(-86, 86), draw.choice([0, 1e-5, 0.01, 0.4, 9])
+        line = [{"lon": x, "lat": y}, {"lon": x + w, "lat": y + w / 3 if y < 80 else y}]
+        drains += [(draw.choice("gh"), str(i), i, None, line)] + ([("g", f"again{i}", 100 + i, None, line)] if i % 5 == 0 else [])
+    drains.append(("none", "fence", 1, [[[{"lon": a, "lat": b} for a, b in ((-20.0, -20.0), (20.0, -20.0), (20.0, 20.0), (-20.0, 20.0))]]], []))
+    points = [(draw.choice("gh"), n, draw.uniform(-180, 180), draw.uniform(-88, 88)) for n in range(80)] + [("none", 500, 1.0, 1.0), ("none", 501, 50.0, 1.0)]
+    d = spark.createDataFrame(drains, f"grp string, drain_id string, place int, geofence {geo.GEOMETRY_DDL}, centreline {geo.LINE_DDL}")
+    p = spark.createDataFrame(points, "grp string, point_id int, lon double, lat double")
+    located = quality.locate(p, d, by=("grp",))
+    got = {r.point_id: (r.drain_id, round(r.distance_m, 4)) for r in located.collect()}
+    here = geo.pt(F.col("lon"), F.col("lat"))
+    metres = F.when(geo.in_geometry(F.col("lon"), F.col("lat"), F.col("geofence")), F.lit(-1.0)).otherwise(geo.dist_to_line_m(here, F.col("centreline")))
+    want = {}
+    for r in sorted(p.join(d, "grp").select("point_id", "drain_id", "place", metres.alias("m")).collect(), key=lambda r: (r.point_id, r.m, r.place)):
+        want.setdefault(r.point_id, (r.drain_id if r.m < float("inf") else None, round(max(r.m, 0.0), 4)))
+    assert got == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = quality.locate(p, d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 GOOD = '{"points":[{"lat":22.58,"lon":88.47,"t":"2026-10-09T07:00:00+05:30"},{"lat":22.57,"lon":88.46,"t":"2026-10-09T07:05:00+05:30"}]}'
 
 
