@@ -394,16 +394,17 @@ def ocr_texts(fx):
         block("TIME_IN", (F.lit("9:42"), vague)), block("TIME_OUT", (F.lit("unclear"), sure)), block("SITE"),
     ]
     content = F.concat(F.lit('{"Blocks":['), F.concat_ws(",", *blocks), F.lit("]}"))
-    return fx.table("orders").select(doc.alias("doc"), content.alias("content"))
+    return fx.dealt(fx.table("orders")).select(doc.alias("doc"), content.alias("content"))
 
 
 @query("src_10_ocr_answers", """
-SELECT o_orderkey::VARCHAR AS doc, alias, CASE alias WHEN 'TICKET_NO' THEN 'WB  ' || o_orderkey WHEN 'NET_WEIGHT' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE (5 + o_orderkey % 15) || ' T' END
-  WHEN 'TIME_IN' THEN '9:42' END AS text, CASE alias WHEN 'TICKET_NO' THEN 80 + o_orderkey % 20 WHEN 'SITE' THEN NULL ELSE 50 + o_orderkey % 40 END::DOUBLE AS confidence
-FROM orders, (VALUES ('TICKET_NO'), ('NET_WEIGHT'), ('TIME_IN'), ('SITE')) v(alias)""")
+SELECT o_orderkey::VARCHAR AS doc, alias, CASE alias WHEN 'TICKET_NO' THEN 'WB  ' || o_orderkey WHEN 'VEHICLE_NO' THEN printf('mh 0%d ab %04d', o_orderkey % 10, o_orderkey % 10000)
+  WHEN 'GROSS_WEIGHT' THEN (13 + o_orderkey % 15) || '.50 T' WHEN 'TARE_WEIGHT' THEN CASE WHEN o_orderkey % 6 = 0 THEN '--' ELSE '8500 kg' END
+  WHEN 'NET_WEIGHT' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE (5 + o_orderkey % 15) || ' T' END WHEN 'TIME_IN' THEN '9:42' WHEN 'TIME_OUT' THEN 'unclear' END AS text,
+ CASE WHEN alias = 'SITE' THEN NULL WHEN alias IN ('NET_WEIGHT', 'TIME_IN') THEN 50 + o_orderkey % 40 ELSE 80 + o_orderkey % 20 END::DOUBLE AS confidence
+FROM orders, (VALUES ('TICKET_NO'), ('VEHICLE_NO'), ('GROSS_WEIGHT'), ('TARE_WEIGHT'), ('NET_WEIGHT'), ('TIME_IN'), ('TIME_OUT'), ('SITE')) v(alias)""")
 def src_10(spark, d):
-    out = readings.ocr_answers(ocr_texts(Fixture(spark, d)))
-    return out.where(F.col("alias").isin("TICKET_NO", "NET_WEIGHT", "TIME_IN", "SITE"))
+    return readings.ocr_answers(ocr_texts(Fixture(spark, d)))
 
 
 @query("src_11_slip_records", """

@@ -18,8 +18,17 @@ MISREAD_TO = "0011115"
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at both ends; a pattern is only tried on a text beyond ASCII."""
+
+    def stripped(text):
+        plain = F.octet_length(text) == F.length(text)
+        return F.when(plain, F.btrim(text, F.lit(ASCII_SPACE))).otherwise(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""))
+
+    return let(c, stripped)
 
 
 def fix_digits(c: Column) -> Column:
