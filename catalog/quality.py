@@ -360,7 +360,7 @@ f AS (SELECT source, 0::BIGINT AS i, NULL::BIGINT AS doc_id, false AS admitted,
   FROM f JOIN o ON o.source = f.source AND o.i = f.i + 1) q) SELECT doc_id, admitted FROM f WHERE doc_id IS NOT NULL)""")
 def str_10(spark, d):
     uploads = Fixture(spark, d).table("documents").select("doc_id", F.col("source").alias("case_id"), F.col("lang").alias("grp"), F.col("n_chars").alias("size_bytes"))
-    return control.admit_files(uploads, "doc_id", BUDGET, stage).select("doc_id", "admitted")
+    return control.admit_files(uploads, "doc_id", BUDGET).select("doc_id", "admitted")
 
 
 def state_log(fx):

@@ -71,83 +71,43 @@ class Budget:
     max_files: int = 24
     max_bytes: int = 120 * 1024 * 1024
     group_files: dict[str, int] = field(default_factory=lambda: {"photo": 12, "slip": 6, "bill": 2, "trace": 4})
-    # Cases up to this many uploads are folded in one row; larger ones in rounds.
-    fold_rows: int = 4096
 
 
-def admit_files(uploads: DataFrame, order: str, budget: Budget | None = None, stage=None) -> DataFrame:
+def admit_files(uploads: DataFrame, order: str, budget: Budget | None = None) -> DataFrame:
     """(case_id, order, admitted) of uploads (case_id, grp, size_bytes and the unique
     ``order``): each is admitted when a file slot, a slot of its group and its bytes are
     still free; a refused file uses nothing, so a later one may fit.
 
-    A case of ordinary size is folded inside one row. A larger one takes a round per
-    admitted file (at most ``max_files``): the next admitted file is the smallest
-    ``order`` that still fits, which is a plain aggregation."""
+    One way for cases of every size: in ``max_files`` rounds each case takes the smallest ``order``
+    behind its last one that still fits. What a round knows of a case is one short row (bytes and
+    groups so far, and the orders taken), so a round is a join with these rows and an
+    aggregation that starts where the uploads lie; no upload is gathered by case. Rounds
+    are part of one frame: nothing runs while it is built."""
     b = budget or Budget()
-    sizes = uploads.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
-    marked = uploads.select("case_id", "grp", "size_bytes", F.col(order).alias("_o")).join(sizes, "case_id")
-    small = _fold_budget(marked.where(F.col("_n") <= b.fold_rows), b)
-    large = marked.where(F.col("_n") > b.fold_rows).drop("_n")
-    admitted = small
-    if not large.isEmpty():
-        admitted = small.unionByName(_round_budget(large, b, stage or (lambda df, name: df)))
-    flags = admitted.select("case_id", F.col("_o").alias(order), F.lit(True).alias("admitted"))
-    return uploads.select("case_id", order).join(flags, ["case_id", order], "left").na.fill(False, ["admitted"])
-
-
-def _caps(b: Budget) -> Column:
-    return F.create_map(*[F.lit(x) for kv in b.group_files.items() for x in kv])
-
-
-def _fold_budget(df: DataFrame, b: Budget) -> DataFrame:
-    caps = _caps(b)
-    files = F.array_sort(F.collect_list(F.struct(F.col("_o").alias("o"), F.col("grp").alias("g"), F.col("size_bytes").cast("bigint").alias("s"))))
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("taken"), F.lit(0).cast("bigint").alias("bytes"), F.array().cast("array<string>").alias("groups")
+    caps = F.create_map(*[F.lit(x) for kv in b.group_files.items() for x in kv])
+    marked = uploads.where(F.col("size_bytes") <= b.max_bytes).where(F.coalesce(F.try_element_at(caps, F.col("grp")), F.lit(0)) > 0)
+    marked = marked.select("case_id", "grp", F.col("size_bytes").cast("bigint").alias("size"), F.col(order).cast("bigint").alias("o"))
+    begin = F.struct(
+        F.lit(0).cast("bigint").alias("bytes"), F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<string>").alias("groups")
     )
-
-    def step(acc, f):
-        used = F.size(F.filter(acc["groups"], lambda g: g == f["g"]))
-        fits = (
-            (F.size(acc["taken"]) < b.max_files) & (acc["bytes"] + f["s"] <= b.max_bytes)
-            & (used < F.coalesce(F.try_element_at(caps, f["g"]), F.lit(0)))
-        )
-        return F.when(
-            fits,
-            F.struct(
-                F.concat(acc["taken"], F.array(f["o"].cast("bigint"))).alias("taken"), (acc["bytes"] + f["s"]).alias("bytes"),
-                F.concat(acc["groups"], F.array(f["g"])).alias("groups"),
-            ),
-        ).otherwise(acc)
-
-    folded = df.groupBy("case_id").agg(files.alias("_files"))
-    return folded.select("case_id", F.explode(F.aggregate("_files", start, step, lambda acc: acc["taken"])).alias("_o"))
-
-
-def _round_budget(df: DataFrame, b: Budget, stage) -> DataFrame:
-    caps = _caps(b)
-    state = df.select("case_id").distinct().select(
-        "case_id", F.lit(None).cast("bigint").alias("_last"), F.lit(0).cast("bigint").alias("_bytes"), F.array().cast("array<string>").alias("_groups")
-    )
-    taken = None
-    for turn in range(b.max_files):
-        open_rows = df.join(state, "case_id")
-        used = F.size(F.filter("_groups", lambda g: g == F.col("grp")))
-        fits = (
-            (F.col("_last").isNull() | (F.col("_o") > F.col("_last"))) & (F.col("_bytes") + F.col("size_bytes") <= b.max_bytes)
-            & (used < F.coalesce(F.try_element_at(caps, F.col("grp")), F.lit(0)))
+    state = marked.select("case_id").distinct().withColumn("s", begin)
+    for _ in range(b.max_files):
+        s = F.col("s")
+        used = F.size(F.filter(s["groups"], lambda g: g == F.col("grp")))
+        later = F.coalesce(F.col("o") > F.element_at(s["taken"], F.when(F.size(s["taken"]) > 0, -1)), F.lit(True))
+        fits = later & (s["bytes"] + F.col("size") <= b.max_bytes) & (used < F.try_element_at(caps, F.col("grp")))
+        found = marked.join(state, "case_id").groupBy("case_id").agg(
+            F.any_value("s").alias("s"), F.min(F.when(fits, F.struct("o", "grp", "size"))).alias("f")
         )
-        found = open_rows.where(fits).groupBy("case_id").agg(F.min(F.struct("_o", "grp", "size_bytes")).alias("_f"))
-        state = stage(
-            state.join(found, "case_id").select(
-                "case_id", F.col("_f._o").cast("bigint").alias("_last"), (F.col("_bytes") + F.col("_f.size_bytes")).alias("_bytes"),
-                F.concat("_groups", F.array("_f.grp")).alias("_groups"),
-            ),
-            f"budget-{turn}",
+        grown = F.struct(
+            (s["bytes"] + F.col("f.size")).alias("bytes"), F.concat(s["taken"], F.array("f.o")).alias("taken"), F.concat(s["groups"], F.array("f.grp")).alias("groups")
         )
-        one = state.select("case_id", F.col("_last").alias("_o"))
-        taken = one if taken is None else taken.unionByName(one)
-    return taken
+        state = found.select("case_id", F.when(F.col("f").isNull(), s).otherwise(grown).alias("s"))
+    taken = state.select("case_id", F.explode("s.taken").alias("_o")).withColumn("admitted", F.lit(True))
+    flags = taken.withColumnRenamed("case_id", "_case")
+    rows = uploads.select("case_id", order)
+    joined = rows.join(flags, (rows["case_id"] == flags["_case"]) & (rows[order].cast("bigint") == flags["_o"]), "left")
+    return joined.select("case_id", order, F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
 # ------------------------------------------------------------------ states

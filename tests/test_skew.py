@@ -138,7 +138,7 @@ def test_neighbours_over_measured_ranges(spark):
     assert got == dict(zip(names, [None, *names]))
 
 
-def test_budget_rounds_equal_the_fold(spark):
+def test_budget_rounds_equal_a_loop(spark):
     draw = random.Random(9)
     rows = [(draw.choice(["hot", "hot", "x", "y"]), i, draw.choice(["photo", "slip", "memo"]), draw.randrange(1, 60)) for i in range(200)]
     df = spark.createDataFrame(rows, "case_id string, n bigint, grp string, size_bytes bigint")
@@ -150,10 +150,17 @@ def test_budget_rounds_equal_the_fold(spark):
             if files < 5 and size + s <= 120 and used.get(grp, 0) < caps.get(grp, 0):
                 used[grp], size, files = used.get(grp, 0) + 1, size + s, files + 1
                 want.add((case, n))
-    for fold_rows in (10_000, 1):
-        budget = control.Budget(5, 120, caps, fold_rows)
-        got = control.admit_files(df, "n", budget).where("admitted").collect()
-        assert {(r.case_id, r.n) for r in got} == want
+    got = control.admit_files(df.repartition(7), "n", control.Budget(5, 120, caps)).collect()
+    assert {(r.case_id, r.n) for r in got if r.admitted} == want and len(got) == 200
+
+
+def test_an_admission_plans_without_a_job(spark):
+    df = spark.range(2000).select(F.lit("hot").alias("case_id"), F.col("id").alias("n"), F.lit("photo").alias("grp"), F.lit(1).alias("size_bytes"))
+    tracker = spark.sparkContext.statusTracker()
+    before = tracker.getJobIdsForGroup()
+    admitted = control.admit_files(df, "n")
+    assert tracker.getJobIdsForGroup() == before
+    assert sorted(r.n for r in admitted.where("admitted").collect()) == list(range(12))
 
 
 def test_nearest_drain_equals_brute_force(spark):
