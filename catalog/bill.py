@@ -295,6 +295,19 @@ def rule_err(spark, d):
     return failed.unionByName(said(fx.photos.withColumn("key", F.col("s3_key")), bill.error_cases(), ["key"])).select("key", "message")
 
 
+@query("join_01_trip_evidence", """
+SELECT g.bill_id, trip_id, NOT no_slip AS slip_found, slip_error, NOT no_item AS item_found, CASE WHEN NOT no_item THEN CASE WHEN item_error THEN 'ERROR' ELSE 'OK' END END AS item_status,
+  CASE WHEN NOT no_points THEN f.n END AS n_points FROM v_gone g LEFT JOIN v_fact f ON f.trace_key = trip_id""")
+def join_01(spark, d):
+    """Slips, trace facts and trace items, each absent or in error for some trips."""
+    case = patchy_case(Fixture(spark, d))
+    placed = traces.points_in_site(traces.with_times(case.points), bill.bill_sites(case.bills, case.sites))
+    out = bill.trip_evidence(case.trips, case.slips, traces.trace_facts(placed), case.trace_items)
+    found = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    error = F.coalesce(F.col("slip_status") == "ERROR", F.lit(False)).alias("slip_error")
+    return out.select("bill_id", "trip_id", found("slip_found"), error, found("item_found"), "item_status", "n_points")
+
+
 GAPS_SQL = """
 SELECT b.bill_id, coalesce(g.a, 0) AS trips_without_slip, coalesce(g.b, 0) AS trips_without_trace, 0::BIGINT AS unreadable_traces,
   coalesce(g.c, 0) + coalesce(e.n, 0) AS evidence_errors, coalesce(p.n, 0) AS drains_without_photos

@@ -100,9 +100,10 @@ def bill_ledger(spark, d):
     return as_doubles(out, *SPLIT).drop("rate_per_tonne")
 
 
-@query("join_01_trip_evidence", """
+@query("join_01_slips", """
 SELECT t.bill_id, t.trip_id, found AS slip_found, net, CASE WHEN found THEN status END AS slip_status FROM v_sjudged t""")
-def join_01(spark, d):
+def join_01_slips(spark, d):
+    """A ledger without traces: slips alone."""
     fx = Fixture(spark, d)
     keyless = fx.supplier_trips.withColumn("trace_key", F.lit(None).cast("string"))
     none = fx.trace_items.limit(0)

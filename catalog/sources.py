@@ -262,9 +262,9 @@ def win_07(spark, d):
 
 
 @query("ing_07_validate_uploads", """
-SELECT doc_id, CASE WHEN g IS NULL THEN 'UNSUPPORTED_GROUP' WHEN g = 'trace' THEN 'UNSUPPORTED_TYPE' WHEN n_chars % 10 = 0 THEN 'INVALID_REQUEST' WHEN n_chars % 10 = 1 THEN 'EMPTY_FILE'
-   WHEN n_chars * 2000 > CASE g WHEN 'photo' THEN 15 ELSE 10 END * 1048576 THEN 'FILE_TOO_LARGE' WHEN g = 'photo' AND doc_id % 7 = 0 THEN 'INVALID_ROLE' WHEN g <> 'photo' AND doc_id % 7 < 2 THEN 'INVALID_ROLE' END AS code
-FROM (SELECT *, CASE lang WHEN 'en' THEN 'photo' WHEN 'fr' THEN 'slip' WHEN 'de' THEN 'trace' END AS g FROM documents)""")
+SELECT doc_id, code, CASE WHEN code IS NULL THEN substr(regexp_replace(CASE WHEN name = '' THEN 'upload' ELSE name END, '[\\\\/]', '_', 'g'), 1, 120) END AS name FROM (SELECT doc_id, name, CASE WHEN g IS NULL THEN 'UNSUPPORTED_GROUP' WHEN g = 'trace' THEN 'UNSUPPORTED_TYPE' WHEN n_chars % 10 = 0 THEN 'INVALID_REQUEST' WHEN n_chars % 10 = 1 THEN 'EMPTY_FILE'
+   WHEN n_chars * 2000 > CASE g WHEN 'photo' THEN 15 ELSE 10 END * 1048576 THEN 'FILE_TOO_LARGE' WHEN g = 'photo' AND doc_id % 7 = 0 THEN 'INVALID_ROLE' WHEN g <> 'photo' AND doc_id % 7 < 2 THEN 'INVALID_ROLE' WHEN length(name) > 200 THEN 'INVALID_REQUEST' END AS code
+FROM (SELECT *, CASE lang WHEN 'en' THEN 'photo' WHEN 'fr' THEN 'slip' WHEN 'de' THEN 'trace' END AS g, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM documents))""")
 def ing_07(spark, d):
     lang, n, k = F.col("lang"), F.col("n_chars"), F.col("doc_id")
     rows = Fixture(spark, d).table("documents").select(
@@ -273,9 +273,9 @@ def ing_07(spark, d):
         F.lit(" Image/JPG ").alias("content_type"),
         F.when(n % 10 == 0, F.lit("1.5")).when(n % 10 == 1, F.lit("0")).otherwise((n * 2000).cast("string")).alias("size"),
         F.when(k % 7 == 0, F.lit("hero")).when(k % 7 == 1, F.lit("after")).alias("role"),
-        F.concat_ws("-", "source", "doc_id").alias("filename"),
+        F.col("text").alias("filename"),
     )
-    return manifests.validate_uploads(rows).select("doc_id", "code")
+    return manifests.validate_uploads(rows).select("doc_id", "code", F.col("settled_name").alias("name"))
 
 
 def slots(fx):

@@ -45,10 +45,9 @@ def judged(audit) -> DataFrame:
     return shown.join(audit.trips, [*KEYS, "trip_id"])
 
 
-def case_facts(trips: DataFrame, drain_findings: DataFrame, sites: DataFrame, routes: DataFrame, lengths: DataFrame,
-               drains: DataFrame | None = None) -> DataFrame:
-    """One row per drain with trips, and per other drain of ``drains`` if that is given.
-    ``trips`` is ``judged``; ``sites`` gives a bill's ``center``, ``routes`` a drain's
+def case_facts(trips: DataFrame, drains: DataFrame, drain_findings: DataFrame, sites: DataFrame, routes: DataFrame,
+               lengths: DataFrame) -> DataFrame:
+    """One row per drain of ``drains``, those without trips too. ``trips`` is ``judged``; ``sites`` gives a bill's ``center``, ``routes`` a drain's
     ``claimed_route``, ``lengths`` a trace's distance_m."""
     focus = focus_trip(trips).join(trips, [*KEYS, "trip_id"])
     focus = focus.join(lengths.select("bill_id", "trace_key", "distance_m"), ["bill_id", "trace_key"], "left")
@@ -111,8 +110,6 @@ def case_facts(trips: DataFrame, drain_findings: DataFrame, sites: DataFrame, ro
         (F.coalesce("_r3", F.lit(0)) > 0).alias("has_r3"), "r3_owner",
         *[c for c in ("start_time", "arrival_time") if c in trips.columns],
     )
-    if drains is None:
-        return facts
     found = drain_findings.groupBy(*KEYS).agg(
         *[F.array_sort(F.collect_set(F.when(F.col("severity") == s, F.col("rule")))).alias(f"_{s}") for s in (wording.HARD, wording.SOFT)]
     )

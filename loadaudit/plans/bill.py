@@ -397,8 +397,15 @@ class Audit:
         return trip_cases(self.limits)
 
     @cached_property
-    def drain_findings(self) -> DataFrame:
+    def _photos(self) -> tuple[DataFrame, list[Case]]:
+        """Photos with all that their rules ask for, the search for originals included: made
+        once, for findings and rule ids."""
         photos, cases = photo_findings(self.case, self.limits)
+        return self._stage(photos, "judged-photos"), cases
+
+    @cached_property
+    def drain_findings(self) -> DataFrame:
+        photos, cases = self._photos
         keep = [*_DRAIN_KEYS, "s3_key"]
         by_photo = findings.explode_findings(photos, cases, keep)
         gaps = findings.explode_findings(counted_drains(self.case.drains, self.case.photos), photo_gap_cases(), _DRAIN_KEYS)
@@ -408,7 +415,7 @@ class Audit:
     @cached_property
     def drain_rules(self) -> DataFrame:
         """Rule ids per drain, from conditions alone: no sentence is built."""
-        photos, cases = photo_findings(self.case, self.limits)
+        photos, cases = self._photos
 
         def ids(df, cases):
             return df.select(
