@@ -181,6 +181,55 @@ def _step_aggregates() -> list[Column]:
     ]
 
 
+def block_summary(points: DataFrame, keys=TRACE_KEYS, block: int = STEP_BLOCK) -> DataFrame:
+    """All that is known of a trace from its fixes in file order, in one exchange of the
+    points: n_points, n_timed, naive and aware (times without and with an offset), first and
+    last (seq, lon, lat, at), distance_m, repeats, max_kmh, max_gap_s, the box, back (seq, now and
+    before of the first fix whose time runs backwards) and bad (stage, seq and error of the first
+    fault, if the points carry ``stage`` and ``error``).
+
+    Each block of ``block`` points becomes one row; what lies between two blocks follows from
+    the last fix of one and the first of the next. Rows of blocks combine in any grouping, so a
+    hot trace is spread over its blocks, and only one row a block meets by trace."""
+    keys = list(keys)
+    timed = with_times(points)
+    at = F.struct("wall_us", "offset_min", "epoch_us")
+    fix = F.struct("seq", "lon", "lat", F.when(F.col("epoch_us").isNotNull(), at).alias("at"))
+    fault = F.when(F.col("error").isNotNull(), F.struct("stage", "seq", "error")) if "error" in timed.columns else F.lit(None).cast("struct<stage:int,seq:bigint,error:string>")
+    cut = timed.select(*keys, F.floor(F.col("seq") / F.lit(block)).alias("_block"), fix.alias("fix"), fault.alias("fault")).repartition(*keys, "_block")
+
+    def steps(df):
+        seconds = (F.col("fix.at.epoch_us") - F.col("prev.at.epoch_us")) / F.lit(1_000_000.0)
+        metres = geo.haversine_m(F.col("prev.lon"), F.col("prev.lat"), F.col("fix.lon"), F.col("fix.lat"))
+        return df.withColumns({"_s": seconds, "_m": metres}).withColumns({
+            "_repeat": (F.col("_m") == 0).cast("bigint"),
+            "_kmh": F.when(F.col("_s") > 0, F.col("_m") / F.col("_s") * 3.6),
+            "_back": F.when(F.col("_s") < 0, F.struct(F.col("fix.seq").alias("seq"), F.col("fix.at").alias("now"), F.col("prev.at").alias("before"))),
+        })
+
+    inside = Window.partitionBy(*keys, "_block").orderBy("fix.seq")
+    blocks = steps(cut.withColumn("prev", F.lag("fix").over(inside))).groupBy(*keys, "_block").agg(
+        F.count(F.lit(1)).alias("n_points"), F.count("fix.at").alias("n_timed"),
+        F.count_if(F.col("fix.at").isNotNull() & F.col("fix.at.offset_min").isNull()).alias("naive"),
+        F.count_if(F.col("fix.at.offset_min").isNotNull()).alias("aware"),
+        F.coalesce(F.sum("_m"), F.lit(0.0)).alias("distance_m"), F.coalesce(F.sum("_repeat"), F.lit(0)).alias("repeats"),
+        F.max("_kmh").alias("max_kmh"), F.max("_s").alias("max_gap_s"), F.min("_back").alias("back"), F.min("fault").alias("bad"),
+        *[which(f"fix.{c}").alias(f"{name}_{c}") for c in ("lon", "lat") for name, which in (("min", F.min), ("max", F.max))],
+        F.min("fix").alias("first"), F.max("fix").alias("last"),
+    )
+    across = Window.partitionBy(*keys).orderBy("_block")
+    joined = steps(blocks.withColumns({"prev": F.lag("last").over(across), "fix": F.col("first")}))
+    return joined.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("n_points", "n_timed", "naive", "aware")],
+        F.sum(F.coalesce("_m", F.lit(0.0)) + F.col("distance_m")).alias("distance_m"),
+        F.sum(F.coalesce("_repeat", F.lit(0)) + F.col("repeats")).alias("repeats"),
+        F.coalesce(F.max(F.greatest("max_kmh", "_kmh")), F.lit(0.0)).alias("max_kmh"), F.max(F.greatest("max_gap_s", "_s")).alias("max_gap_s"),
+        F.min(F.least("back", "_back")).alias("back"), F.min("bad").alias("bad"),
+        *[which(f"{name}_{c}").alias(f"{name}_{c}") for c in ("lon", "lat") for name, which in (("min", F.min), ("max", F.max))],
+        F.min("first").alias("first"), F.max("last").alias("last"),
+    )
+
+
 def backwards(points: DataFrame, keys=TRACE_KEYS, block: int = STEP_BLOCK) -> DataFrame:
     """The first offending point of every trace whose times run backwards."""
     found = trace_quality(points, keys, block).where(F.col("backwards_seq").isNotNull())

@@ -232,33 +232,18 @@ def validate_traces(points: DataFrame, keys=TRACE_KEYS, block: int = ops.STEP_BL
     if "format" not in points.columns:
         points = points.withColumn("format", F.lit("points"))
     timed = ops.with_times(points.withColumn("t", text.strip(F.col("t"))))
-    checked = point_errors(timed)
-    sizes = checked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("epoch_us").isNotNull() & F.col("offset_min").isNull()).alias("naive"),
-        F.count_if(F.col("offset_min").isNotNull()).alias("aware"),
-    )
-    # Bad points are few, so their sentences are aggregated apart from the counts.
-    first_bad = checked.where(F.col("error").isNotNull()).groupBy(*keys).agg(
-        F.min(F.struct("stage", "seq", "error")).alias("_bad")
-    )
-    back = ops.backwards(timed, keys, block)
-    at = timed.select(*keys, "seq", F.struct("wall_us", "offset_min", "epoch_us").alias("_at"))
-    here = at.withColumnsRenamed({"seq": "backwards_seq", "_at": "_now"})
-    before = at.select(*keys, (F.col("seq") + 1).alias("backwards_seq"), F.col("_at").alias("_before"))
-    turned = back.join(here, [*keys, "backwards_seq"]).join(before, [*keys, "backwards_seq"])
-    judged = sizes.join(first_bad, keys, "left").join(turned, keys, "left")
-
-    bad, stage = F.col("_bad.error"), F.col("_bad.stage")
+    judged = ops.block_summary(point_errors(timed), keys, block)
+
+    bad, stage, back = F.col("bad.error"), F.col("bad.stage"), F.col("back")
     reason = (
         F.when(stage == 0, bad)
-        .when(F.col("n") < MIN_POINTS, F.lit(REASONS["few"]))
-        .when(F.col("n") > MAX_POINTS, F.lit(REASONS["many"]))
+        .when(F.col("n_points") < MIN_POINTS, F.lit(REASONS["few"]))
+        .when(F.col("n_points") > MAX_POINTS, F.lit(REASONS["many"]))
         .when(stage == 1, bad)
         .when((F.col("naive") > 0) & (F.col("aware") > 0), F.lit(REASONS["mixed"]))
         .when(
-            F.col("backwards_seq").isNotNull(),
-            _say("backwards", (F.col("backwards_seq") + 1).cast("string"), iso_text(F.col("_now")), iso_text(F.col("_before"))),
+            back.isNotNull(),
+            _say("backwards", (back["seq"] + 1).cast("string"), iso_text(back["now"]), iso_text(back["before"])),
         )
     )
     verdicts = judged.select(*keys, reason.alias("reason"))
@@ -278,9 +263,8 @@ def trace_summary(points: DataFrame, keys=TRACE_KEYS, route_limit: int | None =
     """Per accepted trace: size, start, end, distance, top speed, gap, box, remarks and
     the thinned route."""
     keys = list(keys)
-    facts = ops.trace_facts(points, keys).select(*keys, "n_timed", "max_gap_s", "departure", "last_fix")
-    quality = ops.trace_quality(points, keys, block)
-    joined = quality.join(facts, keys).join(ops.points_bbox(points, keys), keys)
+    joined = ops.block_summary(points, keys, block)
+    joined = joined.withColumns({"departure": F.col("first.at"), "last_fix": F.col("last.at")})
     jump = F.col("max_kmh")
     remarks = F.array_compact(
         F.array(
