@@ -8,13 +8,13 @@ text from the first of them to the end of the last, and phrases overlap by a str
 so that no string is cut. Equal strings have the same trigger at the same place in them:
 only phrases with the same bytes behind their trigger can hold equal strings.
 
-Dictionary and parse: the phrases are dealt by the bytes behind the trigger and ordered; what
-stands alone falls out, which is nearly all of ordinary text. Phrases equal as wholes are
-repeated as wholes, however many copies there are: one of them speaks for all. Only where
-different phrases meet, that is at the edges of repeated passages, the strings of one phrase
-of each kind are ordered and compared with their neighbours. Corpus order is the order of
-fingerprints, not of letters: all that counts is whether 200 bytes of a suffix equal those
-of its neighbour, and a fingerprint moves 8 bytes where the suffix moves 200.
+From here the method departs from the textbook one: no suffix array of dictionary and parse is
+built, and nothing is put in corpus order. The question is only which 200-byte strings start at
+two places, and equal strings lie in phrases of one digest, so phrases are grouped by digest
+instead of being ranked. What stands alone falls out, which is nearly all of ordinary text.
+Phrases equal as wholes are repeated as wholes, however many copies there are: one of
+them speaks for all. Only where different phrases meet, that is at the edges of repeated
+passages, are the strings of one phrase of each kind digested and counted.
 
 Strings meet only under two 64-bit hashes of overlapping bytes that both agree. Rows are
 known by a 64-bit hash of id and text.
@@ -190,7 +190,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = ID, text_co
     repeated = met.filter("repeated")
     repeated = repeated.select(ROW, "first", "n").unionAll(repeated.select(ROW, F.explode("more").alias("first"), "n"))
     covered = repeated.select(ROW, F.col("first").alias("start"), (F.col("first") + F.col("n") + (length - 1)).alias("end"))
-    spans = covered.unionAll(strings).groupBy(ROW).agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
+    # A row that is there many times says the same of each copy; one set of spans serves them all.
+    spans = covered.unionAll(strings).groupBy(ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = spans.select(ROW, F.transform("spans", lambda s: s["start"]).alias("start"), F.transform("spans", lambda s: s["end"]).alias("end"))
     joined = rows.join(spans, ROW, "left").select("carried", TEXT, "start", "end")
     kind = "string" if as_text else "binary"
     return joined.mapInArrow(_remove(as_text), f"carried {rows.schema['carried'].dataType.simpleString()}, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept {kind}")

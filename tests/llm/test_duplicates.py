@@ -238,3 +238,18 @@ def test_licences_are_whole(spark):
     assert {(r.doc_id, r.template, r.coverage) for r in got} == {(2 * i, name, 1.0) for i, name in enumerate(ends)}
     assert all(docs[r.doc_id][r.end :] == ". code" for r in got)
     assert {n for n in TEMPLATES if n.startswith(("apache", "gpl", "mpl")) and not n.endswith(("-notice", "-header"))} == set()
+
+
+def test_a_row_that_is_there_many_times(spark):
+    """Its copies share one set of spans: time grows with the rows, not with their square."""
+    import time
+
+    text = " ".join(f"word{i * 7919 % 10007}" for i in range(3000))
+    took = {}
+    for n in (250, 2000):
+        frame = spark.createDataFrame([(1, text)] * n + [(2, "short")], "doc_id bigint, text string")
+        began = time.time()
+        rows = suffix_dedup.remove_repeats(frame).select("n_bytes", F.size("starts").alias("spans"), F.length("kept").alias("kept")).collect()
+        took[n] = time.time() - began
+        assert sorted(map(tuple, rows)) == [(5, 0, 5)] + [(len(text), 1, 0)] * n
+    assert took[2000] < 12 * took[250] + 10
