@@ -364,7 +364,7 @@ _DRAIN_KEYS = ["bill_id", "drain_id"]
 
 class Audit:
     """All rules over a ``BillCase``. The frames that every output shares (one row per
-    trace, leg or drain) are staged on first use; everything else is lazy."""
+    trace, leg, photo or drain) are staged on first use, which runs a job; the rest is lazy."""
 
     def __init__(self, case: BillCase, limits: Limits | None = None, staged: bool = True):
         self.case, self.limits = case, limits or Limits()
